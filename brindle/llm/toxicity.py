@@ -4,8 +4,9 @@ Categories are predicted one after the other; the model of a later category also
 training these come from out-of-fold predictions (each row's from models that did not see it), so later models learn from
 probabilities as honest as those they meet in use.
 
-Features are whether a text holds a word, a run of signs, or a five-character piece of a word; the most telling ones of each
-category are chosen by the likelihood ratio of their counts. Presence, not frequency: a long text with one insult scores as a short one.
+Features are whether a text holds a word, a run of signs, or a five-character piece of a word, and whether two or four different
+words share such a piece (a stem that many words of an abusive text share, and by chance one of a clean text). The most telling ones
+of each category are chosen by the likelihood ratio of their counts. Words count once a text: repeating one changes nothing.
 The chain is fitted on the driver on at most `sample_rows` labelled documents (a bound that does not grow). Scoring is one
 pass over all documents with a broadcast of at most `n_features` weights a category.
 """
@@ -13,6 +14,8 @@ pass over all documents with a broadcast of at most `n_features` weights a categ
 from __future__ import annotations
 
 import re
+from collections import Counter
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -37,6 +40,20 @@ def words_of(text: str) -> set[str]:
     return set(_TOKEN(text.lower()))
 
 
+#: A piece is a feature of its own where so many different words of the text share it.
+SHARED = (2, 4)
+
+
+def shared_name(piece: str, n: int) -> str:
+    return f"{piece}\0{n}"
+
+
+def all_features(words: Iterable[str]) -> set[str]:
+    """Every feature of a text of these different words."""
+    held = Counter(f for w in words for f in set(features_of(w)))
+    return {*held, *(shared_name(f, n) for f, c in held.items() if c > 1 for n in SHARED if c >= n)}
+
+
 @dataclass
 class Chain:
     """features: name -> column. weights[j]: of the features, then of the probabilities of categories before j; bias[j]."""
@@ -46,6 +63,23 @@ class Chain:
     weights: list[np.ndarray] = field(default_factory=list)
     bias: list[float] = field(default_factory=list)
 
+    def columns(self, texts: Iterable[str], known: dict[str, tuple]) -> list[np.ndarray]:
+        """The columns of each text's features. known: a cache of the pieces of each word that the chain asks for, bounded by the caller."""
+        names, out = self.features, []
+        if not hasattr(self, "_asked"):
+            self._asked = {f.partition("\0")[0] for f in names}
+        for text in texts:
+            held: Counter = Counter()
+            for w in words_of(text):
+                got = known.get(w)
+                if got is None:
+                    got = known[w] = tuple(f for f in set(features_of(w)) if f in self._asked)
+                if got:
+                    held.update(got)
+            found = [names[x] for f, c in held.items() for x in (f, *(shared_name(f, n) for n in SHARED if c >= n)) if x in names]
+            out.append(np.array(sorted(found), np.int64))
+        return out
+
     def predict(self, active: list[np.ndarray]) -> np.ndarray:
         """Probabilities, a column a category, of rows given by the columns of their features."""
         out, n = np.zeros((len(active), len(self.categories))), len(self.features)
@@ -55,21 +89,30 @@ class Chain:
         return out
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, steps: int = 12) -> tuple[np.ndarray, float]:
-    """Ridge logistic regression by Newton steps (the bias is not penalised). One class only: a constant."""
+def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, steps: int = 40) -> tuple[np.ndarray, float]:
+    """Ridge logistic regression by damped Newton steps (the bias is not penalised). One class only: a constant."""
     n, d = x.shape
     if not n or y.min() == y.max():
         return np.zeros(d), (12.0 if n and y[0] else -12.0)
     full = np.hstack([x, np.ones((n, 1))])
     w, held = np.zeros(d + 1), np.append(np.full(d, ridge), 1e-6)
     w[-1] = np.log(y.mean() / (1 - y.mean()))
+
+    def loss(w: np.ndarray) -> float:
+        z = full @ w
+        return float(np.logaddexp(0, z).sum() - y @ z + 0.5 * (held * w * w).sum())
+
+    now = loss(w)
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(full @ w, -30, 30)))
         slope = full.T @ (p - y) + held * w
-        curve = (full * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ full
-        step = np.linalg.solve(curve + np.diag(held + 1e-9), slope)
-        w -= step
-        if np.abs(step).max() < 1e-4:
+        curve = (full * np.maximum(p * (1 - p), 1e-9)[:, None]).T @ full
+        step, size = np.linalg.solve(curve + np.diag(held + 1e-9), slope), 1.0
+        while size > 1e-4 and loss(w - size * step) > now:
+            size /= 2
+        w = w - size * step
+        last, now = now, loss(w)
+        if last - now < 1e-5:
             break
     return w[:-1], float(w[-1])
 
@@ -100,7 +143,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...], id_col:
             rows = batch.to_pydict()
             for i, t in enumerate(rows["t"]):
                 y = [1, *(rows[f"y{j}"][i] for j in range(k))]
-                for f in {f for w in words_of(t) for f in features_of(w)}:
+                for f in all_features(words_of(t)):
                     got = seen.get(f)
                     if got is None:
                         seen[f] = y[:]
@@ -116,14 +159,14 @@ def fit(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...], id_col:
     sums = sample.mapInArrow(count, schema).groupBy("f").agg(*(F.sum(f"n{j}").alias(f"n{j}") for j in range(k + 1))).where(F.col("n0") >= least)
     totals = sample.agg(F.count(F.lit(1)), *(F.coalesce(F.sum(f"y{j}"), F.lit(0)) for j in range(k))).first()
     total = np.array([float(x) for x in totals])
-    names = most_telling(sums, total, k, n_features, telling) if total[0] else []
-    chain.features = {f: c for c, f in enumerate(names)}
-    shared = spark.sparkContext.broadcast(chain.features)
+    own = most_telling(sums, total, k, n_features, telling) if total[0] else [[]] * k
+    chain.features = {f: c for c, f in enumerate(sorted(set().union(*own)))}
+    shared = spark.sparkContext.broadcast(Chain(chain.categories, chain.features))
 
     def columns(batches):
         names = shared.value
         for batch in batches:
-            found = [sorted({names[f] for w in words_of(t) for f in features_of(w) if f in names}) for t in batch.column("t").to_pylist()]
+            found = [x.tolist() for x in names.columns(batch.column("t").to_pylist(), {})]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), *(batch.column(f"y{j}") for j in range(k)), batch.column("i").cast(pa.string())], names=["a", *(f"y{j}" for j in range(k)), "i"])
 
     rows = sample.mapInArrow(columns, ", ".join(["a array<int>", *(f"y{j} int" for j in range(k)), "i string"])).toArrow().to_pydict()
@@ -137,8 +180,11 @@ def fit(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...], id_col:
     early = np.zeros((len(active), 0))
     for j in range(k):
         y = np.array([rows[f"y{j}"][r] for r in order], np.float64)
-        full = np.hstack([x, early])
-        w, b = fit_logistic(full, y)
+        mine = np.array([chain.features[f] for f in own[j]], np.int64)
+        full = np.hstack([x[:, mine], early])  # a model sees the features of its own category and what was said of the earlier ones
+        seen, b = fit_logistic(full, y)
+        w = np.zeros(x.shape[1] + early.shape[1])
+        w[mine], w[x.shape[1] :] = seen[: len(mine)], seen[len(mine) :]
         if j == k - 1 and 0 < y.sum() < len(y):  # the sample holds as many rows with as without; the bias tells of all labelled rows
             b += np.log(odds[1] / odds[0]) - np.log(y.sum() / (len(y) - y.sum()))
         chain.weights.append(w)
@@ -154,9 +200,9 @@ def fit(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...], id_col:
     return chain
 
 
-def most_telling(sums: DataFrame, total: np.ndarray, k: int, n_features: int, telling: float) -> list[str]:
-    """Names of the n_features most telling features of each category, of a log likelihood ratio of `telling` at least; ties go to the smaller name."""
-    out: set[str] = set()
+def most_telling(sums: DataFrame, total: np.ndarray, k: int, n_features: int, telling: float) -> list[list[str]]:
+    """For each category the names of its n_features most telling features, of a log likelihood ratio of `telling` at least; ties go to the smaller name."""
+    out: list[list[str]] = []
     n, t = F.col("n0").cast("double"), float(total[0])
     safe = lambda c, e: F.when((c > 0) & (e > 0), c * F.log(c / e)).otherwise(0.0)
     scored = sums
@@ -166,9 +212,9 @@ def most_telling(sums: DataFrame, total: np.ndarray, k: int, n_features: int, te
         scored = scored.withColumn(f"s{j}", score)
     scored = scored.persist()
     for j in range(k):
-        out |= {r["f"] for r in scored.where(F.col(f"s{j}") >= telling).orderBy(F.desc(f"s{j}"), "f").limit(n_features).select("f").collect()}
+        out.append(sorted(r["f"] for r in scored.where(F.col(f"s{j}") >= telling).orderBy(F.desc(f"s{j}"), "f").limit(n_features).select("f").collect()))
     scored.unpersist()
-    return sorted(out)
+    return out
 
 
 def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -182,22 +228,11 @@ def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str =
     names = [f"p_{c}" for c in chain.categories]
 
     def run(batches):
-        chain = shared.value
-        known, none = {}, ()
+        chain, known = shared.value, {}
         for batch in batches:
-            active = []
-            for t in batch.column(1).to_pylist():
-                words, a = words_of(t), set()
-                for w in words:
-                    got = known.get(w)
-                    if got is None:
-                        got = known[w] = tuple(chain.features[f] for f in features_of(w) if f in chain.features) or none
-                    if got:
-                        a.update(got)
-                active.append(np.array(sorted(a), np.int64))
+            p = chain.predict(chain.columns(batch.column(1).to_pylist(), known))
             if len(known) > 500_000:
                 known = {}
-            p = chain.predict(active)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(p[:, j], pa.float64()) for j in range(len(names)))], names=[id_col, *names])
 
     return docs.select(id_col, text_of(text_col).alias("text")).mapInArrow(run, ", ".join([f"`{id_col}` {kind}", *(f"`{n}` double" for n in names)]))
@@ -216,15 +251,7 @@ def drop_toxic(docs: DataFrame, chain: Chain, category: str | None = None, thres
     def run(batches):
         chain, known = shared.value, {}
         for batch in batches:
-            active = []
-            for t in batch.column(at).to_pylist():
-                a = set()
-                for w in words_of(t or ""):
-                    got = known.get(w)
-                    if got is None:
-                        got = known[w] = tuple(chain.features[f] for f in features_of(w) if f in chain.features)
-                    a.update(got)
-                active.append(np.array(sorted(a), np.int64))
+            active = chain.columns((t or "" for t in batch.column(at).to_pylist()), known)
             if len(known) > 500_000:
                 known = {}
             yield batch.filter(pa.array(chain.predict(active)[:, j] < threshold, pa.bool_()))
