@@ -332,7 +332,7 @@ def repeated_spans(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     settled = stored(packed.repartition("part").sortWithinPartitions("part", "kind").mapInArrow(_settled(length), _SCHEMA), "settled")
     spans = settled.where("kind = 1").select("part", "blob").mapInArrow(_exploded, "part int, i long, a int, b int").select("i", "a", "b")
     asked = settled.where("kind = 2").select("part", "blob").mapInArrow(_exploded, "part int, i long, a int, b int").groupBy("i").agg(F.collect_list(F.struct("part", "a", "b")).alias("asked"))
-    contexts = texts.join(asked, "i").select("i", "t", "asked").mapInArrow(_contexts(length), _SCHEMA)
+    contexts = texts.join(asked.hint("merge"), "i").select("i", "t", "asked").mapInArrow(_contexts(length), _SCHEMA)
     compared = contexts.repartition("part").sortWithinPartitions("part").mapInArrow(_sorted(length), _SCHEMA)
     return spans.unionAll(compared.select("part", "blob").mapInArrow(_exploded, "part int, i long, a int, b int").select("i", "a", "b"))
 
@@ -355,7 +355,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     else:
         rows = rows.withColumn("stands", F.lit(True))
     spans = repeated_spans(acting, length, "i", "t").groupBy("i").agg(F.collect_list(F.struct("a", "b")).alias("gone"))
-    both = rows.join(spans.withColumnRenamed("i", "j"), F.col("i").cast("long") == F.col("j"), "left").select("i", "t", F.when(F.col("stands"), F.col("gone")).alias("gone"))
+    both = rows.join(spans.withColumnRenamed("i", "j").hint("merge"), F.col("i").cast("long") == F.col("j"), "left").select("i", "t", F.when(F.col("stands"), F.col("gone")).alias("gone"))
 
     def run(batches):
         for batch in batches:
