@@ -9,13 +9,16 @@ Ten trees of their own random choices find a pair of similarity 0.8 with more th
 
 Candidates are confirmed on full sets. Only a spanning forest of a node's candidate graph is confirmed first, star-like to the smallest
 id, so a group of thousands of copies costs a link a member and not all pairs. Where a forest edge fails, all untested pairs of
-different components of its node are confirmed too, so nothing hides behind a failed edge. Nodes that are still large at DEEPEST hold
-near copies; they are dealt into blocks, each with the node's smallest id, more than once with other salts.
+different components of its node are confirmed too, so nothing hides behind a failed edge. A large node that keeps more than STUCK
+of its parent holds near copies, which no token parts; it (and what is still large at DEEPEST) is dealt into blocks, each with the
+node's smallest id, more than once with other salts. Whole texts travel in merge joins at every size, so the plan for a small
+corpus is the plan for a large one; only texts with a candidate go on from the first of them.
 """
 
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +27,7 @@ from pyspark.sql import functions as F
 
 from brindle.llm._util import components, drop_stored, stored, text_of
 
-SKETCH, TREES, FIRST, DEEPEST, SMALL, LEAST = 64, 10, 3, 8, 48, 39
+SKETCH, TREES, FIRST, DEEPEST, SMALL, LEAST, STUCK = 64, 10, 3, 12, 48, 39, 0.7
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 _rng = np.random.default_rng(20240229)
 _MUL = _rng.integers(0, 1 << 63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -123,12 +126,13 @@ def _planted(batches):
 
 
 def _deeper(batches):
+    """Rows (path, i, sketch, size of the node) to (path, i, size of the parent) one level down."""
     for batch in batches:
         if not batch.num_rows:
             continue
         sketch = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint32).reshape(-1, SKETCH)
-        node, path, _ = _children(batch.column(1).to_numpy(zero_copy_only=False), batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), sketch)
-        yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), pa.array(node)], names=["path", "i"])
+        node, path, rows = _children(batch.column(1).to_numpy(zero_copy_only=False), batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), sketch)
+        yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), pa.array(node), batch.column(3).take(pa.array(rows))], names=["path", "i", "parent"])
 
 
 def _whole_nodes(batches, columns: int):
@@ -215,25 +219,27 @@ def _forest(path: np.ndarray, ids: np.ndarray, a: np.ndarray, b: np.ndarray) ->
 
 def nodes_of(classes: DataFrame) -> DataFrame:
     """(path, i) of all nodes to compare: of 2 to SMALL classes, or blocks of nodes that don't get smaller. classes: (i, sketch)."""
-    level = stored(classes.select("i", "sketch").mapInArrow(_planted, "path long, i long"), "paths")
-    out, depth = None, FIRST
+    level = stored(classes.select("i", "sketch").mapInArrow(_planted, "path long, i long").withColumn("parent", F.lit(None).cast("long")), "paths")
+    small, whole, depth = [], [], FIRST
     while True:
         sizes = level.groupBy("path").agg(F.count(F.lit(1)).alias("size"), F.min("i").alias("least")).where("size > 1")
         sized = stored(level.join(sizes, "path"), "nodes")
-        small = sized.where(F.col("size") <= SMALL).select("path", "i")
-        out = small if out is None else out.unionAll(small)
-        large = sized.where(F.col("size") > SMALL)
         drop_stored(level)
+        small.append(sized.where(F.col("size") <= SMALL).select("path", "i"))
+        large = sized.where(F.col("size") > SMALL)
+        stuck = F.coalesce(F.col("size") > STUCK * F.col("parent"), F.lit(False)) if depth < DEEPEST else F.lit(True)
+        whole.append(large.where(stuck))
+        large = large.where(~stuck)
         if not large.limit(1).count():
-            return out
-        if depth == DEEPEST:
             break
         depth += 1
-        level = stored(large.join(classes.select("i", "sketch"), "i").select("path", "i", "sketch").mapInArrow(_deeper, "path long, i long"), "paths")
+        level = stored(large.join(classes.select("i", "sketch"), "i").select("path", "i", "sketch", "size").mapInArrow(_deeper, "path long, i long, parent long"), "paths")
+    out = reduce(DataFrame.unionAll, small)
+    copies = reduce(DataFrame.unionAll, whole)
     # near copies: blocks of about SMALL - 8 members at random, dealt twice, each with the node's smallest id
     for salt in (1, 2):
         block = F.pmod(F.xxhash64("i", "path", F.lit(salt)), F.ceil(F.col("size") / (SMALL - 8)))
-        dealt = large.select(F.xxhash64("path", block, F.lit(salt)).alias("path"), "i", "least")
+        dealt = copies.select(F.xxhash64("path", block, F.lit(salt)).alias("path"), "i", "least")
         out = out.unionAll(dealt.select("path", "i")).unionAll(dealt.select("path", F.col("least").alias("i")).distinct())
     return out.distinct()
 
@@ -245,7 +251,7 @@ def _confirmed(k: int, percent: int):
             rows = [c.to_pylist() for c in batch.columns]
             ok, last, held = [], None, None
             for t, u in zip(rows[2], rows[3], strict=True):
-                if u is not last:
+                if u != last:
                     last, held = u, shingle(u)
                 s = shingle(t)
                 both = len(np.intersect1d(s, held, assume_unique=True))
@@ -257,8 +263,8 @@ def _confirmed(k: int, percent: int):
 
 def confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """pairs (a, b) with ok: whether the full sets reach the similarity. texts: (i, t), one row an id."""
-    one = pairs.join(texts.select(F.col("i").alias("a"), F.col("t").alias("ta")), "a")
-    two = one.join(texts.select(F.col("i").alias("b"), F.col("t").alias("tb")), "b")
+    one = pairs.hint("merge").join(texts.select(F.col("i").alias("a"), F.col("t").alias("ta")), "a")
+    two = one.hint("merge").join(texts.select(F.col("i").alias("b"), F.col("t").alias("tb")), "b")
     return two.select("a", "b", "ta", "tb").mapInArrow(_confirmed(k, percent), "a long, b long, ok boolean")
 
 
@@ -289,7 +295,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     pairs = found.select("a", "b").distinct()
     asked = stored(pairs, "pairs")
     used = asked.select(F.col("a").alias("i")).unionAll(asked.select(F.col("b").alias("i"))).distinct()
-    texts = rows.where("i is not null").join(used, "i", "left_semi").dropDuplicates(["i"])
+    # every class with a candidate is in a forest, so the pairs of the second round have their texts here too
+    texts = stored(rows.where("i is not null").join(used.hint("merge"), "i", "left_semi").dropDuplicates(["i"]), "texts")
     tested = stored(confirm(asked, texts, k, percent), "tested")
     of = full.select("i", "x", "y").join(full.groupBy("x", "y").agg(F.min("i").alias("r")), ["x", "y"]).select("i", "r")
     # an id with several texts lies in several classes; they are one document
@@ -302,8 +309,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
         open_paths = found.join(failed, ["a", "b"], "left_semi").select("path").distinct()
         again = links(nodes.join(open_paths, "path", "left_semi"), labels, True).select("a", "b").distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
         again = stored(again, "pairs")
-        used = again.select(F.col("a").alias("i")).unionAll(again.select(F.col("b").alias("i"))).distinct()
-        more = stored(confirm(again, rows.where("i is not null").join(used, "i", "left_semi").dropDuplicates(["i"]), k, percent), "tested")
+        more = stored(confirm(again, texts, k, percent), "tested")
         if more.where("ok").limit(1).count():
             labels = components(linked.unionAll(more.where("ok").select("a", "b")))
     of = of.join(labels.withColumnRenamed("id", "r"), "r", "left").select("i", F.coalesce("component", "r").alias("component")).distinct()
