@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm._util import text_of
+from brindle.llm._util import slices, text_of
 
 _TOKEN = re.compile(r"\d+(?:[.,:/]\d+)*|[^\W\d_]+(?:['’][^\W\d_]+)*|[.!?\n%$€£°]").findall
 UNITS = frozenset("mm cm m km g kg mg t l ml s ms h min hz khz mhz kb mb gb tb w kw v a k c f mph kmh inch inches foot feet yard yards mile miles ounce ounces pound pounds ton tons metre metres meter meters kilometre kilometres kilometer kilometers gram grams kilogram kilograms litre litres liter liters second seconds minute minutes hour hours day days week weeks month months year years percent degree degrees dollar dollars euro euros cent cents usd eur gbp % $ € £ °".split()) - {"a", "c", "f", "h", "k", "l", "m", "s", "t", "v", "w", "g"}
@@ -113,19 +113,36 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     that aren't placeholders, are too general and match nothing. Null or empty texts on either side match nothing; null ids stay
     null; repeated rows give repeated pairs; an empty table gives no pair; other columns are ignored.
     """
-    spark = docs.sparkSession
+    kind = benchmark.select(item_col).schema[0].dataType.simpleString()
+    out = None
+    for rows in _blocks(benchmark, item_col, item_text_col, block_windows):
+        part = _against(docs, rows, id_col, text_col, item_col, kind, window, enough, share, min_literal, min_item_words)
+        out = part if out is None else out.unionAll(part)
+    return out
+
+
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 8, enough: int = 13, share: float = 0.5, min_literal: int = 3, min_item_words: int = 4, block_windows: int = 1_000_000) -> DataFrame:
+    """docs without the rows in which find_leaks sees a passage; all columns of docs, nothing else.
+
+    A row is judged where it is read, so nothing is shuffled; each block of the benchmark filters what the blocks before it left.
+    Null or empty texts stay, rows are judged by their text alone, an empty table gives an empty one.
+    """
+    for rows in _blocks(benchmark, item_col, item_text_col, block_windows):
+        docs = _against(docs, rows, None, text_col, item_col, "", window, enough, share, min_literal, min_item_words)
+    return docs
+
+
+def _blocks(benchmark: DataFrame, item_col: str, item_text_col: str, block_windows: int):
+    """The benchmark's rows (item, t) in blocks of about block_windows words."""
     items = benchmark.select(F.col(item_col).alias("item"), text_of(item_text_col).alias("t"))
     size = items.agg(F.coalesce(F.sum(F.size(F.split("t", r"\s+"))), F.lit(0)).alias("n")).first()["n"]
     blocks = max(1, -(-int(size) // block_windows))
-    out = None
     for b in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item", "t"), F.lit(blocks)) == b).toArrow().to_pylist()
-        part = _against(spark, docs, rows, id_col, text_col, item_col, benchmark.select(item_col).schema[0].dataType.simpleString(), window, enough, share, min_literal, min_item_words)
-        out = part if out is None else out.unionAll(part)
-    return out
+        yield items.where(F.pmod(F.xxhash64("item", "t"), F.lit(blocks)) == b).toArrow().to_pylist()
 
 
-def _against(spark, docs, rows, id_col, text_col, item_col, item_kind, window, enough, share, min_literal, min_item_words) -> DataFrame:
+def _against(docs, rows, id_col, text_col, item_col, item_kind, window, enough, share, min_literal, min_item_words) -> DataFrame:
+    """The leaks of one block of items, or, where id_col is None, the rows of docs that have none."""
     items, at = [], []
     for r in rows:
         words, values = template(r["t"])
@@ -138,7 +155,8 @@ def _against(spark, docs, rows, id_col, text_col, item_col, item_kind, window, e
                 at.append((h, n, len(items), j))
         items.append((r["item"], words, values))
     at.sort()
-    shared = spark.sparkContext.broadcast((items, np.array([x[0] for x in at], np.uint64), np.array([x[1:] for x in at], np.int64).reshape(-1, 3)))
+    text_at = docs.columns.index(text_col) if id_col is None else 1
+    shared = docs.sparkSession.sparkContext.broadcast((items, np.array([x[0] for x in at], np.uint64), np.array([x[1:] for x in at], np.int64).reshape(-1, 3)))
 
     def run(batches):
         items, hashes, places = shared.value
@@ -156,10 +174,9 @@ def _against(spark, docs, rows, id_col, text_col, item_col, item_kind, window, e
             own.append(int(slot[kind]) if kind in (NUMBER, UNIT) else _hash(low))
             return number.setdefault(token, len(kinds) - 1)
 
-        for batch in batches:
+        for batch, texts in slices(batches, text_at):
             ids, found = batch.column(0), defaultdict(lambda: defaultdict(list))
-            texts = batch.column(1).to_pylist()
-            if len(number) > 400_000:
+            if len(number) > 200_000:
                 number, kinds, own = {}, [], []
             tokens = [_TOKEN(t) for t in texts]
             coded = [np.fromiter([number[x] if x in number else learn(x) for x in ts], np.int64, len(ts)) for ts in tokens]
@@ -191,8 +208,15 @@ def _against(spark, docs, rows, id_col, text_col, item_col, item_kind, window, e
                     least = min(window, len(item_words))
                     if got >= min(enough, max(least, int(np.ceil(share * len(item_words))))):
                         out.append((d, key, got, len(item_words), slots))
+            if id_col is None:
+                stays = np.ones(len(texts), bool)
+                stays[[x[0] for x in out]] = False
+                yield batch.filter(pa.array(stays))
+                continue
             yield pa.RecordBatch.from_arrays([ids.take(pa.array([x[0] for x in out], pa.int64())), pa.array([x[1] for x in out], _arrow(item_kind)), *(pa.array([x[k] for x in out], pa.int64()) for k in (2, 3, 4))], names=[id_col, item_col, "matched_words", "item_words", "slots"])
 
+    if id_col is None:
+        return docs.mapInArrow(run, docs.schema)
     kind = docs.select(id_col).schema[0].dataType.simpleString()
     return docs.select(id_col, text_of(text_col).alias("text")).mapInArrow(run, f"`{id_col}` {kind}, `{item_col}` {item_kind}, matched_words long, item_words long, slots long")
 
