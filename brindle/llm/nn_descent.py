@@ -3,22 +3,25 @@
 Equal vectors are one node (its members are kept by id, so a vector that a third of all rows share is no hub). Nodes get one more
 coordinate that makes all norms equal, so the largest inner product is the nearest neighbour. The graph starts from a few
 random-projection trees, fitted on a bounded sample (`sample_rows`): leaves are cut into blocks of at most `BLOCK` nodes and compared
-within. NN-descent then improves it by joins: each node's pool (its neighbours and the nodes that name it, WIDTH of
-either) is scored pairwise, and every member keeps what beats its list. Search is greedy: a query starts from leaf mates, again and again
-joins the best unexpanded nodes of its beam with the graph, and keeps the best BEAM. All steps are joins of distributed tables.
+within. NN-descent then improves it by joins: each node's pool (its neighbours and the nodes that name it, a list's width of
+either) is scored pairwise, and every member keeps what beats its list. Pairs that met before are not scored again. Rounds go on
+until at most SETTLED of all list places change in one, however many that takes. Search is greedy: a query starts from leaf mates,
+again and again joins the best unexpanded nodes of its beam with the graph, and keeps the best; it ends when no beam holds an
+unexpanded node. All steps are joins of distributed tables.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.llm._util import drop_stored, stored
 
-WIDTH, BLOCK, TREES, ROUNDS = 24, 200, 4, 2
-BEAM, EXPAND, HOPS, LONGEST = 64, 10, 4, 48
+WIDTH, BLOCK, TREES, SETTLED, MORE = 32, 200, 4, 0.001, 1e-6
+BEAM, EXPAND, LONGEST = 64, 16, 48
 
 
 def valid(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -87,86 +90,104 @@ class Trees:
         return out
 
 
-def _best(ids: np.ndarray, sims: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """The `most` greatest of distinct ids, greatest first, ties to the smaller id."""
-    ids, first = np.unique(ids, return_index=True)
-    sims = sims[first]
+def _best(ids: np.ndarray, sims: np.ndarray, fresh: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The `most` greatest of distinct ids, greatest first, ties to the smaller id. Of a repeated id the one that is not fresh stays."""
+    held = np.lexsort((fresh, ids))
+    ids, first = np.unique(ids[held], return_index=True)
+    sims, fresh = sims[held][first], fresh[held][first]
     order = np.lexsort((ids, -sims))[:most]
-    return ids[order], sims[order]
+    return ids[order], sims[order], fresh[order]
 
 
 _LISTS = "id long, near array<long>, sim array<float>"
+_EDGES = _LISTS + ", fresh array<boolean>"
 
 
 def _lists(ids, near, sims) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(near, pa.list_(pa.int64())), pa.array(sims, pa.list_(pa.float32()))], names=["id", "near", "sim"])
 
 
-def _within_blocks(batches):
+def _within_blocks(width: int):
     """Rows (block, id, x): each node's nearest in its block."""
-    for _, t in grouped(batches, 3):
-        ids, x = t.column(1).to_numpy(), _matrix(t.column(2))
-        out = [[], [], []]
-        for at in range(0, len(ids), 1000):
-            s = x[at : at + 1000] @ x.T
-            s[np.arange(len(s)), np.arange(at, at + len(s))] = -np.inf
-            k = min(WIDTH, len(ids) - 1)
-            if k <= 0:
+
+    def run(batches):
+        for _, t in grouped(batches, 3):
+            ids, x = t.column(1).to_numpy(), _matrix(t.column(2))
+            out = [[], [], []]
+            for at in range(0, len(ids), 1000):
+                s = x[at : at + 1000] @ x.T
+                s[np.arange(len(s)), np.arange(at, at + len(s))] = -np.inf
+                k = min(width, len(ids) - 1)
+                if k <= 0:
+                    continue
+                top = np.argpartition(-s, k - 1, axis=1)[:, :k]
+                for i in range(len(s)):
+                    out[0].append(int(ids[at + i]))
+                    out[1].append(ids[top[i]])
+                    out[2].append(s[i, top[i]])
+            if out[0]:
+                yield _lists(*out)
+
+    return run
+
+
+def _pooled(width: int):
+    """Rows (pool, id, x, bar, fresh), an id once a pool: pairs of members, one of them fresh, that beat a member's bar; no more a member
+    than its list can hold."""
+
+    def run(batches):
+        for _, t in grouped(batches, 5):
+            ids = t.column(1).to_numpy()
+            if len(ids) < 2:
                 continue
+            x, bar, fresh = _matrix(t.column(2)), t.column(3).to_numpy(), t.column(4).to_numpy()
+            s = x @ x.T
+            s[~(fresh[:, None] | fresh)] = -np.inf
+            np.fill_diagonal(s, -np.inf)
+            k = min(width, len(ids) - 1)
             top = np.argpartition(-s, k - 1, axis=1)[:, :k]
-            for i in range(len(s)):
-                out[0].append(int(ids[at + i]))
-                out[1].append(ids[top[i]])
-                out[2].append(s[i, top[i]])
-        if out[0]:
-            yield _lists(*out)
-
+            best = np.take_along_axis(s, top, 1)
+            better = best > bar[:, None] + MORE  # rounding alone is no gain, so the rounds end
+            rows = np.flatnonzero(better.any(1))
+            if len(rows):
+                yield _lists(ids[rows], [ids[top[r][better[r]]] for r in rows], [best[r][better[r]] for r in rows])
 
-def _pooled(batches):
-    """Rows (pool, id, x, bar): pairs of a pool's members that beat a member's bar, the best WIDTH / 2 a member."""
-    for _, t in grouped(batches, 4):
-        ids, first = np.unique(t.column(1).to_numpy(), return_index=True)
-        if len(ids) < 2:
-            continue
-        x, bar = _matrix(t.column(2))[first], t.column(3).to_numpy()[first]
-        s = x @ x.T
-        np.fill_diagonal(s, -np.inf)
-        k = min(WIDTH // 2, len(ids) - 1)
-        top = np.argpartition(-s, k - 1, axis=1)[:, :k]
-        best = np.take_along_axis(s, top, 1)
-        better = best > bar[:, None]
-        rows = np.flatnonzero(better.any(1))
-        if len(rows):
-            yield _lists(ids[rows], [ids[top[r][better[r]]] for r in rows], [best[r][better[r]] for r in rows])
+    return run
 
 
 def _merged(most: int):
-    """Rows (id, near, sim) sorted by id: one list of the best for each id."""
+    """Rows (id, near, sim, whether they are fresh) sorted by id: one list of the best for each id."""
 
     def run(batches):
-        out: list[list] = [[], [], []]
-        for key, t in grouped(batches, 3):
-            near, sims = _best(np.concatenate(t.column(1).to_pylist()).astype(np.int64), np.concatenate(t.column(2).to_pylist()).astype(np.float32), most)
-            for into, v in zip(out, (key, near, sims), strict=True):
+        out: list[list] = [[], [], [], []]
+
+        def listed():
+            edges = _lists(*out[:3])
+            return pa.RecordBatch.from_arrays([*edges.columns, pa.array(out[3], pa.list_(pa.bool_()))], names=["id", "near", "sim", "fresh"])
+
+        for key, t in grouped(batches, 4):
+            near, sims = (t.column(c).combine_chunks().flatten().to_numpy() for c in (1, 2))
+            fresh = np.repeat(t.column(3).to_numpy(), pc.list_value_length(t.column(1)).to_numpy())
+            for into, v in zip(out, (key, *_best(near, sims, fresh, most)), strict=True):
                 into.append(v)
             if len(out[0]) >= 2000:
-                yield _lists(*out)
-                out = [[], [], []]
+                yield listed()
+                out = [[], [], [], []]
         if out[0]:
-            yield _lists(*out)
+            yield listed()
 
     return run
 
 
 def _by_id(df: DataFrame, most: int) -> DataFrame:
-    return df.repartition("id").sortWithinPartitions("id").mapInArrow(_merged(most), _LISTS)
+    return df.repartition("id").sortWithinPartitions("id").mapInArrow(_merged(most), _EDGES)
 
 
 class Graph:
     """nodes (id, x): one row a distinct vector, id the smallest of its members; members (id, ids): the smallest of them; edges (id, near, sim); leaves."""
 
     def __init__(self, vectors: DataFrame, k: int, sample_rows: int = 20_000):
-        self.k = k
+        self.k, self.width, self.beam = k, max(WIDTH, k + 12), max(BEAM, 2 * k)  # a list holds all answers of a query that is a node
         spark = vectors.sparkSession
         # the k + 1 smallest ids of a vector are all a search can return; found in two steps, so a hot vector is no one task's group
         part = vectors.groupBy("v", F.pmod(F.xxhash64("id"), F.lit(256)).alias("salt")).agg(F.slice(F.array_sort(F.collect_set("id")), 1, k + 1).alias("ids"))
@@ -214,24 +235,32 @@ class Graph:
         count = self.leaves.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"))
         block = F.xxhash64("leaf", F.pmod(F.xxhash64("id"), F.greatest(F.lit(1), F.ceil(F.col("n") * 2 / BLOCK - 0.5))))
         blocks = self.leaves.join(count, "leaf").select(block.alias("block"), "id", "x")
-        rows = blocks.repartition("block").sortWithinPartitions("block").mapInArrow(_within_blocks, _LISTS)
-        edges = stored(_by_id(rows, WIDTH), "edges")
-        for _ in range(ROUNDS):
-            edges = self._improved(edges)
-        self.edges = edges
+        rows = blocks.repartition("block").sortWithinPartitions("block").mapInArrow(_within_blocks(self.width), _LISTS)
+        self.edges = stored(_by_id(rows.withColumn("fresh", F.lit(True)), self.width), "edges")
+        while self._changed() > SETTLED * self.size * self.width:
+            self.edges = self._improved(self.edges)
+
+    def _changed(self) -> int:
+        """List places that the last round filled."""
+        return self.edges.agg(F.sum(F.size(F.filter("fresh", lambda f: f))).alias("n")).first()["n"] or 0
 
     def _improved(self, edges: DataFrame) -> DataFrame:
         """One round: neighbours of neighbours meet in the pool of the node between them."""
-        forward = edges.select(F.col("id").alias("pool"), F.posexplode("near").alias("p", "id"))
-        named = edges.select("id", F.posexplode("near").alias("p", "pool"))
-        # of the nodes that name a pool's node, WIDTH drawn by rank and hash (a hub's list stays bounded, as in the published method)
-        salted = named.groupBy("pool", F.pmod(F.xxhash64("id"), F.lit(16)).alias("s")).agg(F.slice(F.array_sort(F.collect_list(F.struct("p", F.xxhash64("id", "pool").alias("h"), "id"))), 1, WIDTH).alias("l"))
-        reverse = salted.groupBy("pool").agg(F.slice(F.array_sort(F.flatten(F.collect_list("l"))), 1, WIDTH).alias("l")).select("pool", F.explode("l.id").alias("id"))
-        pools = forward.select("pool", "id").unionAll(reverse)
-        held = self.nodes.join(edges.select("id", F.when(F.size("sim") < WIDTH, F.lit(-9.0)).otherwise(F.element_at("sim", -1)).cast("float").alias("bar")), "id")
-        found = pools.join(held, "id").select("pool", "id", "x", "bar").repartition("pool").sortWithinPartitions("pool").mapInArrow(_pooled, _LISTS)
-        out = stored(_by_id(edges.unionAll(found), WIDTH), "edges")
+        width = self.width
+        listed = edges.select("id", F.posexplode(F.arrays_zip("near", "fresh")).alias("p", "e")).select("id", "p", "e.near", "e.fresh")
+        forward = listed.select(F.col("id").alias("pool"), F.col("near").alias("id"), "fresh")
+        named = listed.select("id", "p", F.col("near").alias("pool"), "fresh")
+        # of the nodes that name a pool's node, a list's width drawn by rank and hash (a hub's list stays bounded, as in the published method)
+        salted = named.groupBy("pool", F.pmod(F.xxhash64("id"), F.lit(16)).alias("s")).agg(F.slice(F.array_sort(F.collect_list(F.struct("p", F.xxhash64("id", "pool").alias("h"), "id", "fresh"))), 1, width).alias("l"))
+        reverse = salted.groupBy("pool").agg(F.slice(F.array_sort(F.flatten(F.collect_list("l"))), 1, width).alias("l")).select("pool", F.explode("l").alias("e")).select("pool", "e.id", "e.fresh")
+        pools = forward.unionAll(reverse).groupBy("pool", "id").agg(F.max("fresh").alias("fresh"))
+        pools = stored(pools.join(pools.where("fresh").select("pool").distinct(), "pool", "left_semi"), "pools")
+        held = self.nodes.join(edges.select("id", F.when(F.size("sim") < width, F.lit(-9.0)).otherwise(F.element_at("sim", -1)).cast("float").alias("bar")), "id")
+        found = pools.join(held, "id").select("pool", "id", "x", "bar", "fresh").repartition("pool").sortWithinPartitions("pool").mapInArrow(_pooled(width), _LISTS)
+        known = edges.select("id", "near", "sim").withColumn("fresh", F.lit(False))
+        out = stored(_by_id(known.unionAll(found.withColumn("fresh", F.lit(True))), width), "edges")
         drop_stored(edges)
+        drop_stored(pools)
         return out
 
     def search(self, queries: DataFrame) -> DataFrame:
@@ -255,14 +284,18 @@ class Graph:
         long = [r["id"] for r in self.members.orderBy(norm.desc(), "id").limit(LONGEST).select("id").collect()]
         longest = asked.select(F.col("id").alias("q"), F.explode(F.array(*map(F.lit, long)).cast("array<bigint>")).alias("c"))
         wanted = seeds.unionAll(own).unionAll(longest).distinct()
-        beams, step = None, _hop(BEAM, EXPAND)
-        for _ in range(HOPS + 1):
+        beams, step = None, _hop(self.beam, EXPAND)
+        while True:
             near = wanted.join(self.nodes.select(F.col("id").alias("c"), F.col("x").alias("cx")), "c").join(asked.select(F.col("id").alias("q"), F.col("x").alias("qx")), "q")
             scored = near.select("q", "c", F.lit(None).cast("float").alias("s"), F.lit(False).alias("done"), "cx", "qx")
             if beams is not None:
                 scored = scored.unionAll(beams.select("q", F.explode(F.arrays_zip("c", "s", "done")).alias("b")).select("q", "b.c", "b.s", "b.done", F.lit(None).cast("binary").alias("cx"), F.lit(None).cast("binary").alias("qx")))
-            beams = stored(scored.repartition("q").sortWithinPartitions("q").mapInArrow(step, "q long, c array<long>, s array<float>, done array<boolean>, next array<long>"), "beams")
+            last, beams = beams, stored(scored.repartition("q").sortWithinPartitions("q").mapInArrow(step, "q long, c array<long>, s array<float>, done array<boolean>, next array<long>"), "beams")
+            if last is not None:
+                drop_stored(last)
             todo = beams.select("q", F.explode("next").alias("n"))
+            if not todo.limit(1).count():
+                break
             wanted = todo.join(self.edges.select(F.col("id").alias("n"), "near"), "n").select("q", F.explode("near").alias("c")).distinct()
         exact = beams.select("q", F.explode(F.slice("c", 1, k + 8)).alias("c")).join(self.members.select(F.col("id").alias("c"), "ids", F.col("v").alias("cv")), "c").join(queries.select(F.col("id").alias("q"), F.col("v").alias("qv")), "q")
         dot = F.aggregate(F.zip_with("cv", "qv", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
@@ -281,7 +314,7 @@ def _hop(beam: int, expand: int):
             fresh = np.flatnonzero(np.isnan(s))
             if len(fresh):
                 q = np.frombuffer(t.column(5)[int(fresh[0])].as_py(), np.float32)
-                s[fresh] = _matrix(t.column(4).take(pa.array(fresh))) @ q
+                s[fresh] = (_matrix(t.column(4).take(pa.array(fresh))) * q).sum(1)  # a pair scores the same in every hop, so the search ends
             order = np.lexsort((c, ~done, -s))  # of a repeated node the expanded one comes first
             c, s, done = c[order], s[order], done[order]
             _, first = np.unique(c, return_index=True)

@@ -108,6 +108,14 @@ def test_nearest_recall(spark):
     assert abs(a @ b - row["score"]) < 1e-12
 
 
+def test_nearest_recall_on_more_rows(spark):
+    t = pq.read_table("/root/testdata/check_s/embeddings.parquet").to_pydict()
+    ids, v = np.array(t["vec_id"]), np.array(t["embedding"], np.float64)
+    found = recall(collected(nn_descent.nearest(spark.read.parquet("/root/testdata/check_s/embeddings.parquet"))), brute_nearest(ids, v, 20, 20))
+    print("recall", found)
+    assert found >= 0.9
+
+
 def test_nearest_with_unequal_norms_copies_and_bad_rows(spark):
     rng = np.random.default_rng(1)
     v = rng.normal(size=(700, 8)) * rng.lognormal(0, 0.7, size=(700, 1))
