@@ -38,7 +38,7 @@ def model_json(path: str) -> str:
 class Codec:
     """Encoder and decoder of one vocabulary."""
 
-    def __init__(self, model: str, limit: int = 300_000):
+    def __init__(self, model: str, limit: int = 400_000):
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_str(model)
@@ -62,6 +62,10 @@ class Codec:
         return self.decode_bytes(ids).decode("utf-8", "replace")
 
 
+def _codec(model: str) -> Codec:
+    return pieces.of_worker(("codec", len(model), hash(model)), lambda: Codec(model))
+
+
 def _column(docs: DataFrame, name: str) -> str:
     return f"`{name}` {docs.select(name).schema[0].dataType.simpleString()}"
 
@@ -75,7 +79,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", t
     model = docs.sparkSession.sparkContext.broadcast(model_json(ranks_path))
 
     def run(batches):
-        codec = Codec(model.value)
+        codec = _codec(model.value)
         for batch in batches:
             ids = [codec.encode(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([codec.offsets(x) for x in ids], pa.list_(pa.int64()))], names=[id_col, "ids", "byte_ends"])
@@ -88,7 +92,7 @@ def decode_documents(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id"
     model = encoded.sparkSession.sparkContext.broadcast(model_json(ranks_path))
 
     def run(batches):
-        codec = Codec(model.value)
+        codec = _codec(model.value)
         for batch in batches:
             raw = [codec.decode_bytes(x or []) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.decode("utf-8", "replace") for x in raw], pa.string()), pa.array(raw, pa.binary())], names=[id_col, "text", "bytes"])
@@ -104,7 +108,7 @@ def digests(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col:
     model = docs.sparkSession.sparkContext.broadcast(model_json(ranks_path))
 
     def run(batches):
-        codec = Codec(model.value)
+        codec = _codec(model.value)
         spelt = [str(i) for i in range(len(codec.table))]
         for batch in batches:
             n, a, b = [], [], []

@@ -25,38 +25,45 @@ _PRE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?[0-9]+| ?(?:[^\s\w]|_)
 
 def mapped(part: str) -> str:
     """The part's UTF-8 bytes in the library's byte-to-character form."""
+    if part.isascii() and part.isprintable():
+        return part.replace(" ", "Ġ")
     return part.encode().decode("latin-1").translate(BYTE_TO_CHAR)
 
 
 class PieceCoder:
-    """value(ids) of each part, cached. limit bounds either cache; a full cache starts anew, which changes no result."""
+    """value(ids) of each part, cached in two generations of about `limit` entries: what a full young one held and is asked again moves over,
+    the rest is forgotten. No result depends on what is held."""
 
     def __init__(self, tokenizer, value: Callable[[list[int]], object], join: Callable, known: dict | None = None, special: tuple[str, ...] = (), limit: int = 400_000):
         self.tokenizer, self.value, self.join, self.special, self.limit = tokenizer, value, join, special, limit
         self.model, self.known = tokenizer.model, known or {}
         self.parts: dict[str, object] = dict(self.known)
         self.pre: dict[str, object] = {}
+        self.old_parts: dict[str, object] = {}
+        self.old_pre: dict[str, object] = {}
 
     def whole(self, text: str):
         return self.value(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def _pre(self, word: str):
-        got = self.value([t.id for t in self.model.tokenize(mapped(word))])
-        self.pre[word] = got
+        got = self.pre.get(word)
+        if got is None:
+            got = self.old_pre.get(word)
+            if got is None:
+                got = self.value([t.id for t in self.model.tokenize(mapped(word))])
+            if len(self.pre) >= self.limit:
+                self.old_pre, self.pre = self.pre, {}
+            self.pre[word] = got
         return got
 
     def _part(self, part: str):
-        if not _SAFE(part):
-            got = self.whole(part)
-        else:
-            pre, words = self.pre, _PRE(part)
-            if len(words) == 1:
-                w = words[0]
-                got = pre[w] if w in pre else self._pre(w)
+        got = self.old_parts.get(part)
+        if got is None:
+            if part.isascii() and part.isprintable() or _SAFE(part):
+                words = _PRE(part)
+                got = self._pre(words[0]) if len(words) == 1 else self.join(map(self._pre, words))
             else:
-                got = self.join([pre[w] if w in pre else self._pre(w) for w in words])
-        if len(self.pre) > self.limit:
-            self.pre = {}
+                got = self.whole(part)
         self.parts[part] = got
         return got
 
@@ -74,15 +81,30 @@ class PieceCoder:
         if len(cut) == 1:
             return self._part(text) if len(text) < 64 else self._alone(text)
         new = [p for p in set(cut) if p not in parts]
-        if len(parts) + len(new) > 2 * self.limit:
-            parts = self.parts = dict(self.known)
-            new = set(cut).difference(parts)
-        for p in new:
-            self._part(p)
+        if new:
+            if len(parts) + len(new) > self.limit + len(self.known):
+                self.old_parts, parts = parts, dict(self.known)
+                self.parts = parts
+                new = set(cut).difference(parts)
+            for p in new:
+                self._part(p)
         return self.join(map(parts.__getitem__, cut))
 
     def _alone(self, text: str):
-        return self.join([self._pre(w) if w not in self.pre else self.pre[w] for w in _PRE(text)]) if _SAFE(text) else self.whole(text)
+        return self.join(map(self._pre, _PRE(text))) if _SAFE(text) else self.whole(text)
+
+
+_held: dict[tuple, object] = {}
+
+
+def of_worker(key: tuple, make: Callable[[], object], most: int = 3):
+    """What make() gives, held by this Python worker for the tasks that follow: a tokenizer and its caches are built once a worker.
+    At most `most` of them are held; each bounds itself."""
+    if key not in _held:
+        while len(_held) >= most:
+            _held.pop(next(iter(_held)))
+        _held[key] = make()
+    return _held[key]
 
 
 def as_bytes(ids: list[int]) -> bytes:

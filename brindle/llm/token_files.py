@@ -177,9 +177,12 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, id_col:
         from pyspark import TaskContext
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(tokenizer_path)
-        coder = pieces.bytes_coder(tokenizer, pieces.special_strings(tokenizer))
-        narrow = tokenizer.get_vocab_size(with_added_tokens=True) <= 65_536 and end_id < 65_536
+        def make():
+            tokenizer = Tokenizer.from_file(tokenizer_path)
+            return pieces.bytes_coder(tokenizer, pieces.special_strings(tokenizer))
+
+        coder = pieces.of_worker(("bytes", tokenizer_path), make)
+        narrow = coder.tokenizer.get_vocab_size(with_added_tokens=True) <= 65_536 and end_id < 65_536
         end, part, shard = pieces.as_bytes([end_id]), TaskContext.get().partitionId(), 0
         keys: list = []
         lengths: list[int] = []
