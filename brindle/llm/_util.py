@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,6 +36,15 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of steps that are done and stored: it does once no event or plan refers to them."""
+    sc = spark.sparkContext
+    for _ in range(2):  # what the first pass finalises may still refer to a plan
+        sc._jsc.sc().listenerBus().waitUntilEmpty(20_000)
+        sc._jvm.System.gc()
+        time.sleep(0.5)
+
+
 def drop_stored(df: DataFrame) -> None:
     """Deletes the files of a table made by stored() that nothing reads any more."""
     spark = df.sparkSession

@@ -2,7 +2,9 @@ import hashlib
 import random
 import zlib
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from conftest import ROWS, SF
@@ -135,6 +137,47 @@ def test_suffix_dedup_is_brute_force(spark, texts):
     assert sum(w[1] for w in want.values()) > 0
 
 
+def spans_of(df):
+    return {d: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for d, r in rows(df).items()}
+
+
+def test_suffix_dedup_of_a_gram_in_a_third_of_the_documents(spark):
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    hot, passage = "=" * 20, word(90)
+    texts = {d: word(rng.randint(0, 150)) + (rng.choice([hot, passage]) if d % 3 == 0 else "") + word(60) for d in range(400)}
+    texts |= {1000 + d: texts[d] for d in range(0, 400, 7)} | {2000: "z" * 5000, 2001: "ab" * 3000, 2002: "z" * 400 + "ab" * 40}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    want = brute_spans({d: x.encode() for d, x in texts.items()})
+    assert spans_of(suffix_dedup.remove_repeats(df)) == want
+    assert spans_of(suffix_dedup.remove_repeats(df, part_bytes=200)) == want  # parts that are never held
+
+
+def test_suffix_dedup_in_small_pieces(spark, monkeypatch):
+    rng = random.Random(4)
+    base = "".join(rng.choice("abc ") for _ in range(4000))
+    texts = {d: base[a : a + rng.randint(100, 2500)] for d, a in enumerate(rng.randint(0, 3000) for _ in range(25))}
+    monkeypatch.setattr(suffix_dedup, "SLICE", 1500)
+    monkeypatch.setattr(suffix_dedup, "PIECE", 300)
+    raw = {d: x.encode() for d, x in texts.items()}
+    batch = pa.RecordBatch.from_pydict({"i": pa.array(list(texts), pa.int64()), "t": list(texts.values())})
+    dealt = [r for b in suffix_dedup._dealt(3, 5, 50)([batch]) for r in b.to_pylist()]
+    dealt.sort(key=lambda r: (r["part"], r["kind"]))
+    shared = [r for b in suffix_dedup._shared(5)([pa.RecordBatch.from_pylist(dealt)]) for r in b.to_pylist()]
+    where = {d: int(suffix_dedup.bucket_of(np.array([d]), 5)[0]) for d in texts}
+    stream = sorted([(r["part"], 0, r["blob"], None, None) for r in shared] + [(where[d], 1, None, d, x) for d, x in texts.items()], key=lambda r: r[:2])
+    columns = [pa.array(c, k) for c, k in zip(zip(*stream, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.string()), strict=True)]
+    told = [r for b in suffix_dedup._contexts(3, 5, 50)([pa.RecordBatch.from_arrays(columns, names=list("bkoit"))]) for r in b.to_pylist()]
+    told.sort(key=lambda r: (r["part"], r["kind"]))
+    last = [r for b in suffix_dedup._compared(5, 50, 1 << 30)([pa.RecordBatch.from_pylist(told)]) for r in b.to_pylist()]
+    gone = {d: bytearray(len(x)) for d, x in raw.items()}
+    for r in last:
+        for d, a, b in zip(*(x.tolist() for x in suffix_dedup._unpack(r["blob"], suffix_dedup._SPAN)), strict=True):
+            gone[d][a:b] = b"\1" * (b - a)
+    want = brute_spans(raw)
+    assert {d: (len(g), sum(g)) for d, g in gone.items()} == {d: w[:2] for d, w in want.items()}
+
+
 @pytest.mark.parametrize("alphabet", ["ab", "abcdefgh ", "é日 a"])
 def test_suffix_dedup_of_repetitive_texts(spark, alphabet):
     rng = random.Random(alphabet)
