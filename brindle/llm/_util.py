@@ -79,6 +79,32 @@ def slices(batches, text_at: int, most_chars: int = 1 << 20):
             yield batch.slice(begin), texts[begin:]
 
 
+def join_hot(rows: DataFrame, facts: DataFrame, keys: list[str], count: str, hottest: int = 1000) -> DataFrame:
+    """rows joined (inner) with facts on keys; facts has one row a key and, in `count`, its number of rows (or less).
+
+    The keys that hold more than 1 / hottest of all rows, so fewer than `hottest`, are told to the tasks by their hashes and joined by
+    broadcast (with the few keys whose hash is the same), so no task holds a hot one.
+    """
+    most = max(rows.count() // hottest, 100)
+    key = F.xxhash64(*keys)
+    hot = [r["h"] for r in facts.where(F.col(count) > most).select(key.alias("h")).distinct().collect()]
+    if not hot:
+        return rows.join(facts.hint("merge"), keys)
+    apart = rows.where(key.isin(hot)).join(F.broadcast(facts.where(key.isin(hot))), keys)
+    return apart.unionByName(rows.where(~key.isin(hot)).join(facts.where(~key.isin(hot)).hint("merge"), keys))
+
+
+def more_components(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (id, component) after further links (a, b): only the components that they join are worked on."""
+    of = lambda c: labels.select(F.col("id").alias(c), F.col("component").alias(f"c{c}"))
+    both = links.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    both = stored(both.select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")), "joined")
+    new = components(both.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    ids = labels.unionAll(both.select("a", "ca")).unionAll(both.select("b", "cb")).distinct()
+    new = new.select(F.col("id").alias("component"), F.col("component").alias("to"))
+    return stored(ids.join(new, "component", "left").select("id", F.coalesce("to", "component").alias("component")), "labels")
+
+
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(id, component): for each id of links (a, b) the smallest id reachable.
 

@@ -60,6 +60,25 @@ def test_near_duplicates_of_planted_groups(spark, k):
     assert got == want
 
 
+def test_near_duplicates_within_a_template_family(spark):
+    """Documents that share a base text and are no duplicates of each other, but in pairs: every pair is found, nothing else is linked."""
+    rng = random.Random(3)
+    vocabulary = ["".join(rng.choice("abcdefghijklm") for _ in range(rng.randint(3, 8))) for _ in range(20000)]
+    base, rows = [rng.choice(vocabulary) for _ in range(200)], []
+    for _ in range(350):
+        one = base[:]
+        for p in rng.sample(range(200), 9):
+            one[p] = rng.choice(vocabulary)
+        two = one[:]
+        for p in rng.sample(range(200), 7):
+            two[p] = rng.choice(vocabulary)
+        rows += [" ".join(one), " ".join(two)]
+    rows = list(enumerate(rows))
+    want = brute_groups(rows, 2)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in chosen_path.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()}
+    assert sum(c != d for d, (_, c) in want.items()) >= 350 and got == want
+
+
 def test_near_duplicates_of_odd_rows(odd, none, spark):
     got = chosen_path.near_duplicates(odd, 2).collect()
     assert len(got) == len(ROWS)
