@@ -30,8 +30,6 @@ _TOKEN = re.compile(r"[^\W\d_]+|[^\w\s]+").findall
 
 def features_of(word: str) -> tuple[str, ...]:
     """The word and its five-character pieces, the word's ends marked."""
-    if len(word) > 60:
-        word = word[:60]
     held = f"^{word}$"
     return (held, *(held[i : i + 5] for i in range(len(held) - 4))) if word[0].isalpha() and len(word) > 3 else (held,)
 

@@ -1,6 +1,7 @@
 import re
 
 import numpy as np
+import pandas as pd
 import pyarrow.parquet as pq
 from conftest import ROWS, SF
 
@@ -8,10 +9,14 @@ from brindle.llm import queries, surrogates, toxicity
 
 
 def test_toxicity_on_documents_that_were_not_fitted(spark):
+    """Each third of the labelled documents is judged by a chain that was fitted on the other two."""
     root = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{root}/documents.parquet"), spark.read.parquet(f"{root}/labels.parquet")
-    chain = toxicity.fit(docs, queries.chain_labels(labels.where("doc_id % 3 <> 0")), queries.CATEGORIES)
-    held = toxicity.score(docs, chain).join(labels.where("doc_id % 3 = 0"), "doc_id").select("p_toxic", "toxic", "p_low_quality", "quality").toPandas()
+    parts = []
+    for third in range(3):
+        chain = toxicity.fit(docs, queries.chain_labels(labels.where(f"doc_id % 3 <> {third}")), queries.CATEGORIES)
+        parts.append(toxicity.score(docs, chain).join(labels.where(f"doc_id % 3 = {third}"), "doc_id").select("p_toxic", "toxic", "p_low_quality", "quality").toPandas())
+    held = pd.concat(parts)
     said = held["p_toxic"] >= 0.5
     assert (said == (held["toxic"] == 1)).mean() > 0.98
     assert said[held["toxic"] == 1].mean() > 0.93 and said[held["toxic"] == 0].mean() < 0.01
