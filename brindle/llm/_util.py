@@ -67,16 +67,18 @@ def text_of(text: str | Column) -> Column:
 
 def slices(batches, text_at: int, most_chars: int = 1 << 20):
     """(slice, its texts) of Arrow batches, of most_chars characters or one text, so what a task holds of tokens stays bounded. Nulls: empty."""
-    for batch in batches:
-        texts = [t or "" for t in batch.column(text_at).to_pylist()]
-        begin = held = 0
-        for k, t in enumerate(texts):
-            if k > begin and held + len(t) > most_chars:
-                yield batch.slice(begin, k - begin), texts[begin:k]
-                begin, held = k, 0
-            held += len(t)
-        if begin < len(texts):
-            yield batch.slice(begin), texts[begin:]
+    for whole in batches:
+        for at in range(0, whole.num_rows, 1000):
+            batch = whole.slice(at, 1000)
+            texts = [t or "" for t in batch.column(text_at).to_pylist()]
+            begin = held = 0
+            for k, t in enumerate(texts):
+                if k > begin and held + len(t) > most_chars:
+                    yield batch.slice(begin, k - begin), texts[begin:k]
+                    begin, held = k, 0
+                held += len(t)
+            if begin < len(texts):
+                yield batch.slice(begin), texts[begin:]
 
 
 def join_hot(rows: DataFrame, facts: DataFrame, keys: list[str], count: str, hottest: int = 1000) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from brindle.llm import pieces
-from brindle.llm._util import text_of
+from brindle.llm._util import slices, text_of
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -38,7 +38,7 @@ def model_json(path: str) -> str:
 class Codec:
     """Encoder and decoder of one vocabulary."""
 
-    def __init__(self, model: str, limit: int = 400_000):
+    def __init__(self, model: str, limit: int = 300_000):
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_str(model)
@@ -110,9 +110,9 @@ def digests(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col:
     def run(batches):
         codec = _codec(model.value)
         spelt = [str(i) for i in range(len(codec.table))]
-        for batch in batches:
+        for batch, texts in slices(batches, 1):
             n, a, b = [], [], []
-            for text in batch.column(1).to_pylist():
+            for text in texts:
                 ids = codec.encode(text)
                 n.append(len(ids))
                 a.append(hashlib.sha256(" ".join(map(spelt.__getitem__, ids)).encode()).hexdigest())

@@ -50,7 +50,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """Sets of k-word shingles as sorted 64-bit hashes. Words: runs of bytes other than ASCII white space, A-Z lower-cased."""
 
-    def __init__(self, k: int, limit: int = 500_000):
+    def __init__(self, k: int, limit: int = 200_000):
         self.k, self.limit, self.words = k, limit, {}
 
     def __call__(self, text: str) -> np.ndarray:
@@ -144,28 +144,37 @@ def _deeper(batches):
                 yield pa.RecordBatch.from_arrays([pa.array(below.view(np.int64)), pa.array(down)], names=["path", "i"])
 
 
-def _whole_nodes(batches, columns: int):
-    """Lists of column arrays in which no node (first column, sorted) is cut."""
+def _whole_nodes(batches, columns: int, most: int = 1 << 18):
+    """Lists of column arrays in which no node (first column, sorted) is cut, of about `most` pairs of members or one node."""
+
+    def portions(held):
+        t = pa.Table.from_batches(held).combine_chunks()
+        paths = t.column(0).to_numpy()
+        cuts = np.flatnonzero(np.concatenate(([True], paths[1:] != paths[:-1], [True])))
+        pairs = np.concatenate(([0], np.cumsum(np.diff(cuts) ** 2)))
+        i = 0
+        while i < len(cuts) - 1:
+            j = max(i + 1, int(np.searchsorted(pairs, pairs[i] + most, "right")) - 1)
+            yield [t.column(c).slice(cuts[i], cuts[j] - cuts[i]) for c in range(columns)]
+            i = j
+
     held: list[pa.RecordBatch] = []
     for batch in batches:
         if not batch.num_rows:
             continue
         paths = batch.column(0).to_numpy(zero_copy_only=False)
         cut = int(np.searchsorted(paths, paths[-1]))
-        if cut and batch.num_rows:
+        if cut:
             held.append(batch.slice(0, cut))
-            t = pa.Table.from_batches(held).combine_chunks()
-            yield [t.column(c) for c in range(columns)]
+            yield from portions(held)
             held = [batch.slice(cut)]
         elif held and held[-1].column(0)[-1].as_py() != int(paths[0]):
-            t = pa.Table.from_batches(held).combine_chunks()
-            yield [t.column(c) for c in range(columns)]
+            yield from portions(held)
             held = [batch]
         else:
             held.append(batch)
     if held:
-        t = pa.Table.from_batches(held).combine_chunks()
-        yield [t.column(c) for c in range(columns)]
+        yield from portions(held)
 
 
 def _close_pairs(path: np.ndarray, short: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -34,34 +34,33 @@ class PieceCoder:
     """value(ids) of each part, cached in two generations of about `limit` entries: what a full young one held and is asked again moves over,
     the rest is forgotten. No result depends on what is held."""
 
-    def __init__(self, tokenizer, value: Callable[[list[int]], object], join: Callable, known: dict | None = None, special: tuple[str, ...] = (), limit: int = 400_000):
+    def __init__(self, tokenizer, value: Callable[[list[int]], object], join: Callable, known: dict | None = None, special: tuple[str, ...] = (), limit: int = 300_000):
         self.tokenizer, self.value, self.join, self.special, self.limit = tokenizer, value, join, special, limit
         self.model, self.known = tokenizer.model, known or {}
         self.parts: dict[str, object] = dict(self.known)
-        self.pre: dict[str, object] = {}
-        self.old_parts: dict[str, object] = {}
-        self.old_pre: dict[str, object] = {}
+        self.old: dict[str, object] = {}
 
     def whole(self, text: str):
         return self.value(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def _pre(self, word: str):
-        got = self.pre.get(word)
+        """A pre-token is a part of its own, so either is looked up among all."""
+        got = self.parts.get(word)
         if got is None:
-            got = self.old_pre.get(word)
+            got = self.old.get(word)
             if got is None:
                 got = self.value([t.id for t in self.model.tokenize(mapped(word))])
-            if len(self.pre) >= self.limit:
-                self.old_pre, self.pre = self.pre, {}
-            self.pre[word] = got
+            self.parts[word] = got
         return got
 
     def _part(self, part: str):
-        got = self.old_parts.get(part)
+        got = self.old.get(part)
         if got is None:
             if part.isascii() and part.isprintable() or _SAFE(part):
                 words = _PRE(part)
-                got = self._pre(words[0]) if len(words) == 1 else self.join(map(self._pre, words))
+                if len(words) == 1:
+                    return self._pre(part)
+                got = self.join(map(self._pre, words))
             else:
                 got = self.whole(part)
         self.parts[part] = got
@@ -77,17 +76,13 @@ class PieceCoder:
         """join() of the values of the text's parts."""
         if any(s in text for s in self.special):
             return self.whole(text)
+        if len(self.parts) > self.limit + len(self.known):
+            self.old, self.parts = self.parts, dict(self.known)
         parts, cut = self.parts, self.cut(text)
         if len(cut) == 1:
             return self._part(text) if len(text) < 64 else self._alone(text)
-        new = [p for p in set(cut) if p not in parts]
-        if new:
-            if len(parts) + len(new) > self.limit + len(self.known):
-                self.old_parts, parts = parts, dict(self.known)
-                self.parts = parts
-                new = set(cut).difference(parts)
-            for p in new:
-                self._part(p)
+        for p in [p for p in set(cut) if p not in parts]:
+            self._part(p)
         return self.join(map(parts.__getitem__, cut))
 
     def _alone(self, text: str):
@@ -112,11 +107,11 @@ def as_bytes(ids: list[int]) -> bytes:
     return pack(f"<{len(ids)}I", *ids)
 
 
-def bytes_coder(tokenizer, special: tuple[str, ...] = (), limit: int = 400_000) -> PieceCoder:
+def bytes_coder(tokenizer, special: tuple[str, ...] = (), limit: int = 300_000) -> PieceCoder:
     return PieceCoder(tokenizer, as_bytes, b"".join, special=special, limit=limit)
 
 
-def length_coder(tokenizer, known: dict[str, int], special: tuple[str, ...] = (), limit: int = 400_000) -> PieceCoder:
+def length_coder(tokenizer, known: dict[str, int], special: tuple[str, ...] = (), limit: int = 300_000) -> PieceCoder:
     return PieceCoder(tokenizer, len, sum, known=known, special=special, limit=limit)
 
 

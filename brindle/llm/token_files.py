@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brindle.llm import pieces
-from brindle.llm._util import fresh_dir, stored, text_of
+from brindle.llm._util import fresh_dir, slices, stored, text_of
 
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -201,9 +201,9 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, id_col:
             return pa.RecordBatch.from_pydict(row)
 
         low = None
-        for batch in batches:
+        for batch, texts in slices(batches, 1):
             low = batch.schema.field(0).type
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for key, text in zip(batch.column(0).to_pylist(), texts, strict=True):
                 raw = coder.encode(text) + end
                 keys.append(key)
                 lengths.append(len(raw) // 4)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm._util import text_of
+from brindle.llm._util import slices, text_of
 
 _TOKEN = re.compile(r"[^\W\d_]+|[^\w\s]+").findall
 
@@ -227,9 +227,9 @@ def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str =
 
     def run(batches):
         chain, known = shared.value, {}
-        for batch in batches:
-            p = chain.predict(chain.columns(batch.column(1).to_pylist(), known))
-            if len(known) > 500_000:
+        for batch, texts in slices(batches, 1):
+            p = chain.predict(chain.columns(texts, known))
+            if len(known) > 250_000:
                 known = {}
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(p[:, j], pa.float64()) for j in range(len(names)))], names=[id_col, *names])
 
@@ -248,9 +248,9 @@ def drop_toxic(docs: DataFrame, chain: Chain, category: str | None = None, thres
 
     def run(batches):
         chain, known = shared.value, {}
-        for batch in batches:
-            active = chain.columns((t or "" for t in batch.column(at).to_pylist()), known)
-            if len(known) > 500_000:
+        for batch, texts in slices(batches, at):
+            active = chain.columns(texts, known)
+            if len(known) > 250_000:
                 known = {}
             yield batch.filter(pa.array(chain.predict(active)[:, j] < threshold, pa.bool_()))
 
