@@ -241,3 +241,51 @@ def from_hints(cls: type) -> T.StructType:
         raise ValueError(f"no type for {hint}")
 
     return T.StructType([T.StructField(n, *of(h)) for n, h in typing.get_type_hints(cls).items()])
+
+
+#: Names of primitive types in the published table schema form.
+_TABLE_NAMES = {"boolean": "boolean", "tinyint": "int", "smallint": "int", "int": "int", "bigint": "long", "float": "float", "double": "double", "date": "date", "timestamp": "timestamptz", "timestamp_ntz": "timestamp", "string": "string", "binary": "binary"}
+
+
+def table_json(schema: T.StructType) -> dict:
+    """A schema in the published JSON form of table formats: every field, element, key and value has an id of its own, children after their level."""
+    last = 0
+
+    def fresh() -> int:
+        nonlocal last
+        last += 1
+        return last
+
+    def of(kind: T.DataType):
+        if isinstance(kind, T.StructType):
+            ids = [fresh() for _ in kind]
+            return {"type": "struct", "fields": [{"id": i, "name": f.name, "required": not f.nullable, "type": of(f.dataType)} for i, f in zip(ids, kind, strict=True)]}
+        if isinstance(kind, T.ArrayType):
+            i = fresh()
+            return {"type": "list", "element-id": i, "element-required": not kind.containsNull, "element": of(kind.elementType)}
+        if isinstance(kind, T.MapType):
+            k, v = fresh(), fresh()
+            return {"type": "map", "key-id": k, "key": of(kind.keyType), "value-id": v, "value-required": not kind.valueContainsNull, "value": of(kind.valueType)}
+        if isinstance(kind, T.DecimalType):
+            return f"decimal({kind.precision}, {kind.scale})"
+        if (name := _TABLE_NAMES.get(kind.simpleString())) is None:
+            raise ValueError(f"no table type for {kind.simpleString()}")
+        return name
+
+    return {**of(schema), "schema-id": 0}
+
+
+def from_table_json(found) -> T.DataType:
+    """The type of a schema in that form; ids stay in the metadata of fields."""
+    if isinstance(found, dict):
+        if found["type"] == "struct":
+            return T.StructType([T.StructField(f["name"], from_table_json(f["type"]), not f["required"], {"parquet.field.id": f["id"]}) for f in found["fields"]])
+        if found["type"] == "list":
+            return T.ArrayType(from_table_json(found["element"]), not found["element-required"])
+        return T.MapType(from_table_json(found["key"]), from_table_json(found["value"]), not found["value-required"])
+    if found.startswith("decimal"):
+        return T.DecimalType(*(int(x) for x in found[8:-1].split(",")))
+    names = {v: k for k, v in _TABLE_NAMES.items() if k not in ("tinyint", "smallint")}
+    if found in names:
+        return T._parse_datatype_string(names[found])
+    raise ValueError(f"no type {found!r}")

@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brindle.functions.types import parse_schema
+from brindle import streaming
+from brindle.functions import instants, types, values
+from brindle.functions.types import parse_schema, parse_type, type_text
 from brindle.operators import union
 from brindle.operators.cast import cast_to
 from brindle.operators.merge import merged
-from brindle.plans.compile import run
-from brindle.sources import avro, ipc, records, textlines
+from brindle.plans.compile import filter_rows, run
+from brindle.sources import avro, files, ipc, records, textlines
 from brindle.sources.table import Table
 
 _KEY = "l_orderkey, l_linenumber"
@@ -92,14 +94,10 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _work(spark: SparkSession, what: str) -> str:
-    """A folder of this query alone: under spark.checkpoint.dir, which executors share, else (tests) under the warehouse."""
+    """A folder of this query alone: under spark.checkpoint.dir, which executors share, else (tests) under the warehouse, which they share too."""
     import uuid
 
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not root:
-        import tempfile
-
-        root = f"file://{tempfile.gettempdir()}/brindle-work"
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/brindle-work"
     return f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
@@ -191,13 +189,15 @@ def i04_time_travel(spark, sf_dir):
 
 def i06_overwrite_where(spark, sf_dir):
     t = _snapshot_table(spark, sf_dir)
-    t.overwrite(table(spark, sf_dir, "orders").where("o_orderkey % 100 = 0").select("o_orderkey", "o_custkey", F.lit("F").alias("o_orderstatus")), "o_orderstatus = 'F'")
+    t.overwrite(table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") + 1).alias("o_custkey"), F.lit("F").alias("o_orderstatus")), "o_orderstatus = 'F'")
     return t.scan()
 
 
 def i07_table_merge(spark, sf_dir):
     t = _snapshot_table(spark, sf_dir)
-    t.merge(table(spark, sf_dir, "orders").where("o_orderkey < 200").select("o_orderkey", F.lit(-1).cast("bigint").alias("o_custkey"), "o_orderstatus"), ["o_orderkey"])
+    orders = table(spark, sf_dir, "orders")
+    news = orders.select("o_orderkey", (-F.col("o_custkey")).alias("o_custkey"), "o_orderstatus")
+    t.merge(news.unionAll(orders.select((-F.col("o_orderkey") - 1).alias("o_orderkey"), "o_custkey", "o_orderstatus")), ["o_orderkey"])
     return t.scan()
 
 
@@ -213,6 +213,174 @@ def i09_evolve(spark, sf_dir):
     return t.scan("cust > 10")
 
 
+def e03_path(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.struct(F.col("o_custkey").alias("key"), F.struct(F.col("o_orderstatus").alias("code")).alias("status")).alias("Of"), F.array("o_totalprice").alias("l"))
+    return run(rows, "select o_orderkey, of.key as k, of.status.code as c, l[0] as p where of.status.code <> 'P'")
+
+
+def q08_text_round_trip(spark, sf_dir):
+    from brindle.plans.parser import parse
+
+    where = "not (l_quantity between 10 and 40) and (l_returnflag in ('R', 'A') or l_tax > 0.05) and l_discount is not null"
+    return filter_rows(table(spark, sf_dir, "lineitem"), parse(str(parse(str(parse(where)))))).select("l_orderkey", "l_linenumber")
+
+
+def s02_read_schema(spark, sf_dir):
+    schema = records.read_schema(spark, f"{sf_dir}/nation.parquet")
+    return spark.createDataFrame([(f.name, type_text(f.dataType)) for f in schema], "name string, type string")
+
+
+def s05_append(spark, sf_dir):
+    path, orders = _work(spark, "append"), table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    records.write(orders.where("o_orderstatus = 'F'"), path)
+    records.append(orders.where("o_orderstatus <> 'F'").select(F.col("o_orderstatus").alias("O_ORDERSTATUS"), F.col("o_orderkey").cast("string"), "o_custkey"), path)
+    return records.read(spark, path)
+
+
+def s16_avro_blocks(spark, sf_dir):
+    """Nation is a fixed table of a few rows, so one container on the driver holds it."""
+    rows = [r.asDict() for r in table(spark, sf_dir, "nation").collect()]
+    schema = {"type": "record", "name": "nation", "fields": [{"name": "n_nationkey", "type": "int"}, {"name": "n_name", "type": "string"}, {"name": "n_regionkey", "type": "int"}]}
+    raw = avro.container(schema, rows, "zstandard", block=7)
+    return spark.createDataFrame([(r["n_nationkey"], r["n_name"], r["n_regionkey"]) for r in avro.rows_of(raw)], "n_nationkey int, n_name string, n_regionkey int")
+
+
+def s22_structured_text(spark, sf_dir):
+    rows = [r.asDict() for r in table(spark, sf_dir, "region").collect()]
+    back = values.load(values.dump(values.load(values.dump(rows, "jsonl"), "jsonl"), "json"), "json")
+    return spark.createDataFrame([(r["r_regionkey"], r["r_name"]) for r in back], "r_regionkey int, r_name string")
+
+
+def o04_row_limit(spark, sf_dir):
+    return records.read(spark, f"{sf_dir}/orders.parquet", options=records.Options(max_row_size=100)).agg(F.count(F.lit(1)).alias("n"))
+
+
+def o05_byte_limit(spark, sf_dir):
+    few = [records.read(spark, f"{sf_dir}/orders.parquet", options=records.Options(max_byte_size=n)).agg(F.count(F.lit(1)).alias("n")) for n in (0, 1)]
+    return few[0].unionAll(few[1])
+
+
+def o07_merge_write(spark, sf_dir):
+    path, orders = _work(spark, "merge"), table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    records.write(orders.where("o_orderstatus <> 'P'"), path)
+    records.append(orders.select("o_orderkey", (F.col("o_custkey") + 1).alias("o_custkey"), F.lit("N").alias("o_orderstatus")), path, options=records.Options(merge_by_names=("o_orderkey",)))
+    return records.read(spark, path)
+
+
+def c4_strict_cast(spark, sf_dir):
+    return cast_to(table(spark, sf_dir, "orders"), parse_schema("o_orderkey utf8, o_totalprice decimal(14,3), o_orderdate date"), safe=False)
+
+
+def _texts(spark, texts):
+    return spark.createDataFrame([(t, type_text(parse_type(t))) for t in texts], "given string, said string")
+
+
+def t1_type_texts(spark, sf_dir):
+    return _texts(spark, ["int64", "utf8", "decimal(9, 2)", "list<int32!>", "map<utf8, float64>", "struct<a: int8!, b: list<utf8>>"])
+
+
+def t4_field_ids(spark, sf_dir):
+    schema = types.assign_ids(table(spark, sf_dir, "nation").schema)
+    return spark.createDataFrame([(n, types.field_by_id(schema, n).name) for n in range(1, len(schema) + 1)], "id int, name string")
+
+
+def t6_marked_partitions(spark, sf_dir):
+    schema = types.mark_partitions(table(spark, sf_dir, "orders").schema, ["O_ORDERSTATUS"])
+    rest = types.without_fields(schema, ["o_orderdate", "O_orderpriority"])
+    return spark.createDataFrame([(f.name, f.name in types.partition_names(schema)) for f in rest], "name string, is_partition boolean")
+
+
+def t9_capture_schema(spark, sf_dir):
+    found = textlines.capture_schema(r"(?P<user>\d+) took (?P<took>\d+\.\d+) in (?P<place>\w+)")
+    return spark.createDataFrame([(f.name, type_text(f.dataType)) for f in found], "name string, type string")
+
+
+def x7_hash_text(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", values.hash_text("p_name").alias("h"))
+
+
+def st_stream_rows(spark, sf_dir):
+    path = _work(spark, "stream")
+    stream = streaming.follow(spark, sf_dir, table(spark, sf_dir, "orders").schema, names="orders.parquet")
+    streaming.keep(stream, "select o_orderkey, o_totalprice * 2 as twice where o_orderstatus = 'F'", f"{path}/rows", f"{path}/state").awaitTermination()
+    return spark.read.schema("o_orderkey bigint, twice double").parquet(f"{path}/rows")
+
+
+def i03_plan(spark, sf_dir):
+    plan = _snapshot_table(spark, sf_dir).plan("o_orderstatus = 'F' and o_custkey > 20")
+    return spark.createDataFrame([(f["partition"]["o_orderstatus"], f["rows"]) for f in plan.files], "status string, n long").groupBy("status").agg(F.sum("n").alias("n"))
+
+
+def i12_branch(spark, sf_dir):
+    t = _snapshot_table(spark, sf_dir)
+    t.create_ref("then")
+    t.overwrite(table(spark, sf_dir, "orders").select("o_orderkey", F.lit(0).cast("bigint").alias("o_custkey"), "o_orderstatus"))
+    before = t.scan(ref="then").withColumn("at", F.lit("branch"))
+    t.create_ref("now", "tag")
+    return before.unionByName(t.scan(ref="now").withColumn("at", F.lit("tag")))
+
+
+def i13_expire(spark, sf_dir):
+    t = _snapshot_table(spark, sf_dir)
+    gone = t.expire_snapshots(1 << 60)
+    return t.scan("o_orderstatus = 'O'").withColumn("expired", F.lit(gone))
+
+
+def i14_history(spark, sf_dir):
+    h = _snapshot_table(spark, sf_dir)
+    return h.snapshots().join(h.history().select("snapshot_id", "is_current_ancestor"), "snapshot_id").groupBy("operation", "is_current_ancestor").agg(F.count(F.lit(1)).alias("n"))
+
+
+def s20_raw_lines(spark, sf_dir):
+    path = _work(spark, "lines")
+    files.append_lines(table(spark, sf_dir, "documents").select("text"), path, "text")
+    return files.read_lines(spark, path, "License").groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def s23_codings(spark, sf_dir):
+    names = files.codings("a.csv.gz.zz.zst")
+    raw = table(spark, sf_dir, "part").select("p_partkey", files.coded(F.encode("p_name", "UTF-8"), names).alias("z"))
+    return raw.select("p_partkey", F.decode(files.coded("z", names, back=True), "UTF-8").alias("name"))
+
+
+def s25_media_types(spark, sf_dir):
+    path = f"{sf_dir}/region.parquet"
+    head = files.read_range(spark, path, 0, 4)
+    told = [("a.csv.gz", files.media_type("a.csv.gz")), ("x", files.media_type("x", head)), ("y", files.media_type("y", b"??"))]
+    return spark.createDataFrame(told, "name string, media string")
+
+
+def s26_listing(spark, sf_dir):
+    return files.listing(spark, sf_dir, "*.parquet", recursive=False).select("name", "stem", "extension", (F.col("size") > 0).alias("some"))
+
+
+def s27_pruned_listing(spark, sf_dir):
+    found = files.listing(spark, sf_dir, "*.parquet", recursive=False)
+    return files.matching(found, "stem in ('nation', 'region') and size > 0 and n_nationkey = 3").select("name")
+
+
+def t8_table_schema(spark, sf_dir):
+    schema = table(spark, sf_dir, "embeddings").schema
+    found = types.table_json(schema)
+    back = types.from_table_json(found)
+    return spark.createDataFrame([(f["id"], f["name"], f["type"] if isinstance(f["type"], str) else f["type"]["type"], type_text(b.dataType)) for f, b in zip(found["fields"], back, strict=True)], "id int, name string, kind string, type string")
+
+
+def t14_zones(spark, sf_dir):
+    ts = table(spark, sf_dir, "events").select("event_id", "ts")
+    local = instants.to_local("ts", "Asia/Kolkata")
+    return ts.select("event_id", local.alias("there"), instants.offset_at("ts", "Asia/Kolkata").alias("ahead"), instants.to_utc(local, "Asia/Kolkata").alias("back"))
+
+
+def t15_iso(spark, sf_dir):
+    ts = table(spark, sf_dir, "events").select("event_id", "ts", F.concat(F.lit("P1DT"), F.col("user_id"), F.lit("M2.5S")).alias("d"))
+    return ts.select("event_id", instants.iso_timestamp("ts").alias("iso"), instants.parse_iso_timestamp(instants.iso_timestamp("ts")).alias("back"), instants.parse_iso_duration("d").alias("seconds"), instants.parse_iso_duration(F.lit("P")).alias("none"))
+
+
+def t16_url_parts(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", *(v.alias(k) for k, v in files.url_parts(F.concat(F.lit("https://h.example:8/a/"), F.col("page_id"), F.lit("/b.tar.GZ?q=1"))).items()))
+
+
 def i14_files(spark, sf_dir):
     return _snapshot_table(spark, sf_dir).files().groupBy(F.col("partition")["o_orderstatus"].alias("status")).agg(F.sum("record_count").alias("n"))
 
@@ -222,8 +390,41 @@ union all select -o_orderkey, o_custkey, 'N', 3 from orders where o_orderkey % 7
 last as (select k, arg_max(c, o) as c, arg_max(s, o) as s from inc group by k)
 select coalesce(a.o_orderkey, l.k) as o_orderkey, case when l.k is null then a.o_custkey else l.c end::bigint as o_custkey, case when l.k is null then a.o_orderstatus else l.s end as o_orderstatus from orders a full join last l on a.o_orderkey = l.k"""
 
+_FNV_SQL = """with b as (select p_partkey, list_prepend(14695981039346656037::uhugeint, [ascii(x)::uhugeint for x in string_split(p_name, '')]) as l from part),
+h as (select p_partkey, list_reduce(l, lambda h, x: (xor(h, x) * 1099511628211::uhugeint) % 18446744073709551616::uhugeint) as h from b)
+select p_partkey, (case when h >= 9223372036854775808::uhugeint then h::hugeint - 18446744073709551616::hugeint else h::hugeint end)::bigint as h from h"""
+
 OTHER: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "q01_flagship": (flagship, FLAGSHIP_SQL),
+    "e03_path": (e03_path, "select o_orderkey, o_custkey as k, o_orderstatus as c, o_totalprice as p from orders where o_orderstatus <> 'P'"),
+    "q08_text_round_trip": (q08_text_round_trip, "select l_orderkey, l_linenumber from lineitem where not (l_quantity between 10 and 40) and (l_returnflag in ('R', 'A') or l_tax > 0.05) and l_discount is not null"),
+    "s02_read_schema": (s02_read_schema, "select * from (values ('n_nationkey', 'int32'), ('n_name', 'utf8'), ('n_regionkey', 'int32')) as t(name, type)"),
+    "s05_append": (s05_append, "select o_orderkey, o_custkey, o_orderstatus from orders"),
+    "s16_avro_blocks": (s16_avro_blocks, "select n_nationkey, n_name, n_regionkey from nation"),
+    "s22_structured_text": (s22_structured_text, "select r_regionkey, r_name from region"),
+    "o04_row_limit": (o04_row_limit, "select count(*)::bigint as n from (select * from orders limit 100)"),
+    "o05_byte_limit": (o05_byte_limit, "select * from (values (0::bigint), (1::bigint)) as t(n)"),
+    "o07_merge_write": (o07_merge_write, "select o_orderkey, o_custkey + 1 as o_custkey, 'N' as o_orderstatus from orders"),
+    "c4_strict_cast": (c4_strict_cast, "select o_orderkey::varchar as o_orderkey, o_totalprice::decimal(14,3) as o_totalprice, o_orderdate::date as o_orderdate from orders"),
+    "t1_type_texts": (t1_type_texts, "select * from (values ('int64', 'int64'), ('utf8', 'utf8'), ('decimal(9, 2)', 'decimal(9, 2)'), ('list<int32!>', 'list<int32!>'), ('map<utf8, float64>', 'map<utf8, float64>'), ('struct<a: int8!, b: list<utf8>>', 'struct<a: int8!, b: list<utf8>>')) as t(given, said)"),
+    "t4_field_ids": (t4_field_ids, "select * from (values (1, 'n_nationkey'), (2, 'n_name'), (3, 'n_regionkey')) as t(id, name)"),
+    "t6_marked_partitions": (t6_marked_partitions, "select * from (values ('o_orderkey', false), ('o_custkey', false), ('o_orderstatus', true), ('o_totalprice', false)) as t(name, is_partition)"),
+    "t9_capture_schema": (t9_capture_schema, "select * from (values ('user', 'int64'), ('took', 'float64'), ('place', 'utf8')) as t(name, type)"),
+    "x7_hash_text": (x7_hash_text, _FNV_SQL),
+    "s20_raw_lines": (s20_raw_lines, "select line as value, count(*)::bigint as n from (select unnest(string_split(text, chr(10))) as line from documents) where contains(line, 'License') group by 1"),
+    "s23_codings": (s23_codings, "select p_partkey, p_name as name from part"),
+    "s25_media_types": (s25_media_types, "select * from (values ('a.csv.gz', 'text/csv'), ('x', 'application/vnd.apache.parquet'), ('y', 'application/octet-stream')) as t(name, media)"),
+    "s26_listing": (s26_listing, "select s || '.parquet' as name, s as stem, 'parquet' as extension, true as some from (select unnest(['region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem', 'events', 'documents', 'embeddings', 'pages', 'benchmark', 'labels', 'conversations']) as s)"),
+    "s27_pruned_listing": (s27_pruned_listing, "select * from (values ('nation.parquet'), ('region.parquet')) as t(name)"),
+    "t8_table_schema": (t8_table_schema, "select * from (values (1, 'vec_id', 'long', 'int64'), (2, 'embedding', 'list', 'list<float32>'), (3, 'label', 'int', 'int32')) as t(id, name, kind, type)"),
+    "t14_zones": (t14_zones, "select event_id, ts + interval 330 minute as there, 19800::int as ahead, ts as back from events"),
+    "t15_iso": (t15_iso, "select event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') as iso, ts as back, (86400 + user_id * 60 + 2.5)::double as seconds, null::double as none from events"),
+    "t16_url_parts": (t16_url_parts, "select page_id, 'https' as scheme, 'h.example:8' as authority, '/a/' || page_id || '/b.tar.GZ' as path, '/a/' || page_id as parent, 'b.tar.GZ' as name, 'b.tar' as stem, 'gz' as extension, 'q=1' as query from pages"),
+    "st_stream_rows": (st_stream_rows, "select o_orderkey, o_totalprice * 2 as twice from orders where o_orderstatus = 'F'"),
+    "i03_plan": (i03_plan, "select o_orderstatus as status, count(*)::bigint as n from orders where o_orderstatus = 'F' group by 1"),
+    "i12_branch": (i12_branch, "select o_orderkey, o_custkey, o_orderstatus, 'branch' as \"at\" from orders union all select o_orderkey, 0, o_orderstatus, 'tag' from orders"),
+    "i13_expire": (i13_expire, "select o_orderkey, o_custkey, o_orderstatus, 1::int as expired from orders where o_orderstatus = 'O'"),
+    "i14_history": (i14_history, "select 'append' as operation, true as is_current_ancestor, 2::bigint as n"),
     "e04_attribute": (e04_attribute, "select n_nationkey, 'nation.parquet' as name, 'parquet' as ext from nation"),
     "e05_parameter": (e05_parameter, "select o_orderkey, 42::bigint as q from orders where o_custkey = 7 or o_orderstatus = 'P'"),
     "u1_union_by_name": (u1_union_by_name, "select n_nationkey as \"Key\", n_name as name, null::varchar as kind from nation union all select r_regionkey, null, 'r' from region"),
@@ -239,8 +440,8 @@ OTHER: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
     "s18_text_lines": (s18_text_lines, "select event_id::varchar as url, 1::bigint as rownum, ts::date as date, epoch(date_trunc('second', ts))::bigint * 1000000000 as unix, 'WARN' as level, user_id as \"user\", 2::int as lines, 0::bigint as \"at\" from events"),
     "i02_scan": (i02_scan, "select o_orderkey, o_custkey, o_orderstatus from orders where o_orderstatus = 'F' and o_custkey > 20"),
     "i04_time_travel": (i04_time_travel, "select o_orderkey, o_custkey, o_orderstatus from orders where o_orderkey % 2 = 0"),
-    "i06_overwrite_where": (i06_overwrite_where, "select o_orderkey, o_custkey, o_orderstatus from orders where o_orderstatus <> 'F' union all select o_orderkey, o_custkey, 'F' from orders where o_orderkey % 100 = 0"),
-    "i07_table_merge": (i07_table_merge, "select o_orderkey, case when o_orderkey < 200 then -1 else o_custkey end::bigint as o_custkey, o_orderstatus from orders"),
+    "i06_overwrite_where": (i06_overwrite_where, "select o_orderkey, o_custkey, o_orderstatus from orders where o_orderstatus <> 'F' union all select o_orderkey, o_custkey + 1, 'F' from orders"),
+    "i07_table_merge": (i07_table_merge, "select o_orderkey, -o_custkey as o_custkey, o_orderstatus from orders union all select -o_orderkey - 1, o_custkey, o_orderstatus from orders"),
     "i08_compact": (i08_compact, "select o_orderkey, o_custkey, o_orderstatus from orders where o_orderkey > 10"),
     "i09_evolve": (i09_evolve, "select o_orderkey, o_custkey as cust, o_orderstatus, null::varchar as note from orders where o_custkey > 10"),
     "i14_files": (i14_files, "select o_orderstatus as status, count(*)::bigint as n from orders group by 1"),

@@ -1,5 +1,6 @@
 import datetime
 import math
+import os
 import random
 
 import pytest
@@ -278,3 +279,26 @@ def test_table_snapshots_refs_and_evolution(spark, tmp_path):
         t._swap("overwrite", set(), None, base)
     assert Table.open(spark, f"file://{tmp_path}/w/ns/t").scan().count() == 6
     assert isinstance(t.schema(), T.StructType)
+
+
+def test_a_stream_runs_a_statement_and_takes_no_order(spark, tmp_path):
+    from brindle import streaming
+
+    spark.createDataFrame([(1, "a"), (2, None), (3, "c")], "k long, v string").write.parquet(str(tmp_path / "in"))
+    stream = streaming.follow(spark, str(tmp_path / "in"), parse_schema("k int64, v utf8"), files_a_batch=1)
+    streaming.keep(stream, "select k + 1 as n where v is not null", str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    assert sorted(r["n"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [2, 4]
+    with pytest.raises(ValueError):
+        streaming.keep(stream, "select k order by k limit 1", str(tmp_path / "x"), str(tmp_path / "y"))
+
+
+def test_the_rest_stands_without_the_training_data_operators(tmp_path):
+    import shutil
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    shutil.copytree(os.path.join(root, "brindle"), tmp_path / "brindle", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(os.path.join(root, "__spark_entry__.py"), tmp_path)
+    code = "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries()) and not any(n.startswith('op') for n in e.queries())"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={**os.environ, "PYTHONPATH": str(tmp_path)}, check=True)
