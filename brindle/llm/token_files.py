@@ -179,7 +179,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, id_col:
 
         def make():
             tokenizer = Tokenizer.from_file(tokenizer_path)
-            return pieces.bytes_coder(tokenizer, pieces.special_strings(tokenizer))
+            return pieces.bytes_coder(tokenizer, pieces.special_strings(tokenizer), limit=800_000)
 
         coder = pieces.of_worker(("bytes", tokenizer_path), make)
         narrow = coder.tokenizer.get_vocab_size(with_added_tokens=True) <= 65_536 and end_id < 65_536
