@@ -65,6 +65,17 @@ def text_of(text: str | Column) -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores in front as it takes to be no column of df."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+        taken.add(name.lower())
+    return out
+
+
 def slices(batches, text_at: int, most_chars: int = 1 << 20):
     """(slice, its texts) of Arrow batches, of most_chars characters or one text, so what a task holds of tokens stays bounded. Nulls: empty."""
     for whole in batches:

@@ -253,6 +253,17 @@ def test_line_dedup_of_odd_rows(spark, odd, none):
     assert line_dedup.drop_common_lines(none).collect() == []
     all_gone = spark.createDataFrame([(i, "Same\n same ") for i in range(10)], "doc_id long, text string")
     assert {(r["text"], r["_n_dropped"]) for r in line_dedup.drop_common_lines(all_gone).collect()} == {("", 2)}
+    clash = all_gone.selectExpr("*", "1 as _x", "2 as _y", "3 as _i", "4 as _gx", "5 as _gy", "6 as _gone", "7 as salt", "8 as p")
+    kept = line_dedup.drop_common_lines(clash)
+    assert set(clash.columns) <= set(kept.columns)
+    assert {(r["text"], r["_x"], r["_y"], r["_i"], r["_gx"], r["_gy"], r["_gone"], r["salt"], r["p"]) for r in kept.collect()} == {("", 1, 2, 3, 4, 5, 6, 7, 8)}
+
+
+def test_line_dedup_of_hot_lines(spark):
+    """Some lines lie in far more documents than the least that counts as hot; most others in too few to go."""
+    data = [(i, f"Everywhere\nown {i}\n everywhere \nthird" if i % 3 == 0 else f"own {i % 200}\nEVERYWHERE\nshared {i % 7}") for i in range(900)]
+    got = line_dedup.drop_common_lines(spark.createDataFrame(data, "doc_id long, text string"))
+    assert sorted(((r["doc_id"], r["_n_lines"], r["_n_dropped"], sha(r["text"])) for r in got.collect()), key=str) == brute_lines(data)
 
 
 # --- 9
