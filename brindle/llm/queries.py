@@ -13,6 +13,7 @@ from brindle.llm._util import stored, table
 
 #: The categories of the chain, in order. The labels tell quality and toxicity; low quality comes first.
 CATEGORIES = ("low_quality", "toxic")
+#: The key of op7's query where the session sets no spark.brindle.surrogateKey.
 SURROGATE_KEY = "brindle surrogate key 1"
 
 
@@ -49,7 +50,7 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = surrogates.replace_entities(table(spark, sf_dir, "documents").select("doc_id", "text"), SURROGATE_KEY)
+    done = surrogates.replace_entities(table(spark, sf_dir, "documents").select("doc_id", "text"), spark.conf.get("spark.brindle.surrogateKey", SURROGATE_KEY))
     return done.select("doc_id", F.col("_n_entities").alias("n_entities"), "text")
 
 

@@ -1,15 +1,15 @@
 """Surrogates for personal data (operator 7), DataFrame functions only.
 
 Detected: e-mail addresses, IPv4 addresses, phone numbers with a country code, card-like numbers of 13 to 19 digits, hex secrets of 32 to
-64 digits, and names after a title. Each entity has one or two components (a name: given name and surname), each of a kind, in a
+64 digits, names after a title, and every later or earlier bare mention, in the same document and letter case, of a word of such a name. Each entity has one or two components (a name: given name and surname), each of a kind, in a
 canonical form that ignores case and punctuation. A component's surrogate depends on the key, the kind and the canonical
 form alone, so one entity has one surrogate in all documents. It keeps the format: digits stay digits in the same places, a card
 number keeps its Luhn validity, letters keep case, a given name keeps the gender that title or name list tells, names keep their script.
 
-Digits are permuted by a keyed Feistel network, so they can't collide. Other kinds are drawn from a keyed hash and checked: all
+Digits are permuted by a Feistel network whose rounds are SHA-2 of key and half, so they can't collide. Other kinds are drawn from a keyed hash and checked: all
 distinct components are grouped by surrogate, and of those that share one, or that equal a real component, all but the first are
-drawn again until none is left. The check works on a table of distinct components; the mapping comes back by a join that
-Spark may split on a hot component. Only documents with entities are shuffled.
+drawn again until none is left. The check works on a table of distinct components; the mapping comes back by a join in which
+the hottest components are broadcast. Only what is found of documents is shuffled: texts stay out of it, but for the documents with entities once.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm._util import stored, text_of
+from brindle.llm._util import join_hot, stored, text_of, unused
 
 _FEMALE, _MALE, _NEUTRAL = ("Mrs", "Ms", "Miss", "Frau", "Señora", "Sra", "Madame", "Mme", "Signora"), ("Mr", "Herr", "Señor", "Sr", "Monsieur", "Signor"), ("Dr", "Prof", "Доктор")
 GIVEN = {
@@ -36,7 +36,8 @@ _LISTS = {
     "syllable:greek": "βα δε φι γο χυ κα λε μι νο πυ ρα σε τι βο θυ ζα".split(),
     "syllable:han": list("安柏川丁恩方高何江林孟南秦苏唐文"),
 }
-_WORD = r"\p{Lu}[\p{L}'’-]*+"
+#: Capital and letters, parts joined by apostrophe or hyphen; a possessive s is no part of the name.
+_WORD = r"\p{Lu}[\p{L}]*+(?:['’-](?!s(?![\p{L}]))[\p{L}]++)*+"
 _TITLE = "(?:" + "|".join((*_FEMALE, *_MALE, *_NEUTRAL)) + r")\.?+"
 ENTITY = "|".join((
     r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*+(?<=\.[A-Za-z]{2,12})",
@@ -69,13 +70,13 @@ def _gender(e: str, given: str) -> str:
 
 
 def _parts(e: str) -> str:
-    """SQL array of (k, c) of an entity: its components."""
+    """SQL array of (k, c) of an entity: its components. A bare name has none here."""
     w = f"slice(split({e},' '),2,2)"
     surname = f"struct(concat('surname:',{_script(f'element_at({w},-1)')}) as k, lower(element_at({w},-1)) as c)"
     given = f"struct(concat('given:',{_gender(e, f'lower(element_at({w},1))')},':',{_script(f'element_at({w},1)')}) as k, lower(element_at({w},1)) as c)"
     digits = f"regexp_replace({e},'[^0-9]','')"
     return (
-        f"case {_kind(e)} when 'name' then if(size({w})=1, array({surname}), array({given},{surname})) when 'email' then array(struct('email' as k, lower({e}) as c)) when 'phone' then array(struct('phone' as k, {digits} as c))"
+        f"case {_kind(e)} when 'name' then case size({w}) when 0 then filter(array(struct('' as k, '' as c)), z -> false) when 1 then array({surname}) else array({given},{surname}) end when 'email' then array(struct('email' as k, lower({e}) as c)) when 'phone' then array(struct('phone' as k, {digits} as c))"
         f" when 'card' then array(struct('card' as k, {digits} as c)) when 'ip' then array(struct('ip' as k, {e} as c)) else array(struct('secret' as k, lower({e}) as c)) end"
     )
 
@@ -83,7 +84,7 @@ def _parts(e: str) -> str:
 def _feistel(left: str, right: str, m1: str, m2: str, salt: str) -> str:
     """SQL struct(l, r): a keyed permutation of pairs below (m1, m2). Runs once more than the attempt says."""
     m = f"if(i%2=1,{m1},{m2})"
-    return f"aggregate(sequence(1,4+4*attempt), struct(cast({left} as bigint) as l, cast({right} as bigint) as r), (a,i)->struct(a.r as l, pmod(a.l+pmod(xxhash64({salt},i,a.r,{m1},{m2}),{m}),{m}) as r))"
+    return f"aggregate(sequence(1,4+4*attempt), struct(cast({left} as bigint) as l, cast({right} as bigint) as r), (a,i)->struct(a.r as l, pmod(a.l+pmod(cast(conv(substring(sha2(concat_ws('|',{salt},i,a.r,{m1},{m2}),256),1,15),16,10) as bigint),{m}),{m}) as r))"
 
 
 def _class_map(text: str, stream: str) -> str:
@@ -107,7 +108,7 @@ def _digits(body: str, salt: str) -> str:
 
 def _surrogate(key: str) -> Column:
     """Surrogate of columns k, c, attempt."""
-    salt = f"xxhash64({_q(key)},k)"
+    salt = f"{_q(key)},k"
     s = f"sha2(concat_ws('|',{_q(key)},k,c,cast(attempt as string)),512)"
     local, domain = "substring_index(c,'@',1)", "substring_index(c,'@',-1)"
     tld = f"substring_index({domain},'.',-1)"
@@ -128,8 +129,8 @@ def _surrogate(key: str) -> Column:
 
 
 def mapping(components: DataFrame, key: str, most_rounds: int = 25) -> DataFrame:
-    """(k, c, s) with one surrogate a distinct component (k, c); no two of a kind share one and none is a real component of its kind."""
-    found = components.select("k", "c").distinct().withColumn("attempt", F.lit(0))
+    """(k, c, n, s) with one surrogate a distinct component (k, c), found n times; no two of a kind share one and none is a real component of its kind."""
+    found = components.groupBy("k", "c").agg(F.count(F.lit(1)).alias("n")).withColumn("attempt", F.lit(0))
     rows = stored(found.withColumn("s", _surrogate(key)), "surrogates")
     for _ in range(most_rounds):
         shared = rows.groupBy("k", "s").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("keeps")).where("n > 1").select("k", "s", "keeps")
@@ -137,9 +138,9 @@ def mapping(components: DataFrame, key: str, most_rounds: int = 25) -> DataFrame
         bad = rows.join(shared, ["k", "s"]).where("c <> keeps").select("k", "c").unionAll(rows.join(real, ["k", "s"], "left_semi").select("k", "c")).distinct()
         bad = stored(bad, "surrogate-clashes")
         if not bad.limit(1).count():
-            return rows.select("k", "c", "s")
-        again = rows.join(bad, ["k", "c"], "left_semi").select("k", "c", (F.col("attempt") + 1).alias("attempt")).withColumn("s", _surrogate(key))
-        rows = stored(rows.join(bad, ["k", "c"], "left_anti").select("k", "c", "attempt", "s").unionAll(again.select("k", "c", "attempt", "s")), "surrogates")
+            return rows.select("k", "c", "n", "s")
+        again = rows.join(bad, ["k", "c"], "left_semi").select("k", "c", "n", (F.col("attempt") + 1).alias("attempt")).withColumn("s", _surrogate(key))
+        rows = stored(rows.join(bad, ["k", "c"], "left_anti").select("k", "c", "n", "attempt", "s").unionAll(again.select("k", "c", "n", "attempt", "s")), "surrogates")
     raise RuntimeError("surrogates did not settle")
 
 
@@ -147,31 +148,40 @@ def _render(e: str, s: str) -> str:
     """SQL string: entity e with the surrogates s of its components, in the format of e."""
     digits = f"aggregate(split({e},''), struct('' as o, 1 as p), (a,ch)->if(ch rlike '[0-9]', struct(concat(a.o,substring({s}[0],a.p,1)) as o, a.p+1 as p), struct(concat(a.o,ch) as o, a.p as p)), a->a.o)"
     w = f"split({e},' ')"
-    cased = f"transform({s}, (x,q)->if(length({w}[q+1])>1 and upper({w}[q+1])={w}[q+1], upper(x), concat(upper(substring(x,1,1)),substring(x,2))))"
+    cased = lambda at: f"transform({s}, (x,q)->if(length({w}[{at}])>1 and upper({w}[{at}])={w}[{at}], upper(x), concat(upper(substring(x,1,1)),substring(x,2))))"
     like = f"if(upper({e})={e}, upper({s}[0]), {s}[0])"
-    return f"case {_kind(e)} when 'name' then concat_ws(' ',{w}[0],array_join({cased},' ')) when 'phone' then {digits} when 'card' then {digits} when 'ip' then {s}[0] else {like} end"
+    return f"case {_kind(e)} when 'name' then if(size({w})=1, {cased('0')}[0], concat_ws(' ',{w}[0],array_join({cased('q+1')},' '))) when 'phone' then {digits} when 'card' then {digits} when 'ip' then {s}[0] else {like} end"
 
 
-def replace_entities(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with every detected entity of text_col replaced by its surrogate; adds _n_entities (long). All rows and columns stay.
+def replace_entities(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
+    """docs with every detected entity of text_col replaced by its surrogate; adds _n_entities (long; a column of this name is replaced).
+    All rows and other columns stay, whatever their names.
 
-    Null text becomes the empty text with no entity. Null ids, repeated rows and extra columns are kept: rows that agree in id and
-    text have the same entities and get the same answer. An empty table gives an empty one.
+    Null text becomes the empty text with no entity. Every row is worked on by itself: null ids, repeated rows and repeated ids with
+    other texts are kept, and equal entities have equal surrogates in all of them. An empty table gives an empty one.
     """
-    found = F.expr(f"regexp_extract_all(coalesce(`{text_col}`,''), {_q(ENTITY)}, 0)")
-    read = docs.withColumn("_e", found)
-    have = read.where(F.size("_e") > 0)
-    parts = have.select(F.col(id_col).alias("i"), F.xxhash64(text_of(text_col)).alias("x"), F.xxhash64(F.lit(3), text_of(text_col)).alias("y"), F.posexplode(F.expr(f"transform(_e, e->{_parts('e')})")).alias("p", "cs"))
-    parts = stored(parts.select("i", "x", "y", "p", F.posexplode("cs").alias("q", "kc")).select("i", "x", "y", "p", "q", "kc.k", "kc.c").distinct(), "components")
-    known = mapping(parts, key)
+    row, names, pattern, e, rest, r, m = unused(docs, "_row", "_names", "_pattern", "_e", "_rest", "_r", "_m")
+    text = text_of(text_col)
+    any_of = lambda what: F.regexp_extract_all(text, what, F.lit(0))
+    others = [c for c in docs.columns if c not in (text_col, "_n_entities")]
+    have = docs.where(text.rlike(ENTITY)).withColumn(e, any_of(F.lit(ENTITY)))
+    # words of titled names, longest first: the text is read for them too
+    words = f"filter(flatten(transform(filter({e}, e -> {_kind('e')} = 'name'), e -> slice(split(e,' '),2,2))), w -> length(w) > 1)"
+    have = have.withColumn(names, F.expr(f"array_sort(array_distinct({words}), (a,b) -> if(length(a)=length(b), if(a<b,-1,1), length(b)-length(a)))"))
+    bare = F.concat(F.lit(ENTITY + r"|(?<![\p{L}\d])(?:"), F.array_join(names, "|"), F.lit(r")(?![\p{L}\d])"))
+    have = have.withColumn(pattern, F.when(F.size(names) > 0, bare).otherwise(F.lit(ENTITY)))
+    have = have.select(*others, F.monotonically_increasing_id().alias(row), any_of(F.col(pattern)).alias(e), F.split(text, F.col(pattern), -1).alias(rest))
+    have = stored(have, "entities")  # from here on a row keeps its number
+    parts = have.select(F.col(row).alias("r"), F.col(e).alias("e")).withColumn("cs", F.expr(f"transform(e, x -> {_parts('x')})"))
+    parts = parts.withColumn("names", F.expr("filter(flatten(cs), z -> startswith(z.k,'given:') or startswith(z.k,'surname:'))"))
+    mention = "get(filter(names, z -> z.c = lower(e[p])), 0)"
+    parts = parts.select("r", F.posexplode(F.expr(f"transform(cs, (x,p) -> if(size(x)=0, array({mention}), x))")).alias("p", "cs"))
+    parts = stored(parts.select("r", "p", F.posexplode("cs").alias("q", "kc")).select("r", "p", "q", "kc.k", "kc.c"), "components")
     # the surrogates of an entity follow one another by q: sorting (p, q, s) lines them up with the entities
-    done = parts.join(known, ["k", "c"]).groupBy("i", "x", "y").agg(F.array_sort(F.collect_list(F.struct("p", "q", "s"))).alias("_m"))
-    key_of = have.withColumns({"_x": F.xxhash64(text_of(text_col)), "_y": F.xxhash64(F.lit(3), text_of(text_col))})
-    both = key_of.join(done.select(F.col("i").alias("_i"), F.col("x").alias("_gx"), F.col("y").alias("_gy"), "_m"), F.col(id_col).eqNullSafe(F.col("_i")) & (F.col("_x") == F.col("_gx")) & (F.col("_y") == F.col("_gy")), "left")
-    new = F.expr(f"transform(_e, (e,p)->transform(array(transform(filter(_m, m->m.p=p), m->m.s)), s->{_render('e', 's')})[0])")
-    rest = F.split(text_of(text_col), ENTITY, -1)
-    merged = both.withColumns({"_new": new, "_rest": rest}).withColumn(text_col, F.expr("concat(_rest[0], array_join(zip_with(_new, slice(_rest,2,size(_new)), (a,b)->concat(a,b)),''))"))
-    names = [c for c in docs.columns]
-    out = merged.select(*names, F.size("_e").cast("long").alias("_n_entities"))
-    plain = docs.where(F.size(found) == 0).withColumn(text_col, text_of(text_col)).select(*names, F.lit(0).cast("long").alias("_n_entities"))
+    done = join_hot(parts, mapping(parts, key), ["k", "c"], "n").groupBy("r").agg(F.array_sort(F.collect_list(F.struct("p", "q", "s"))).alias("m"))
+    both = have.join(done.select(F.col("r").alias(r), F.col("m").alias(m)), F.col(row) == F.col(r))
+    new = f"transform({e}, (e,p)->transform(array(transform(filter({m}, z->z.p=p), z->z.s)), s->{_render('e', 's')})[0])"
+    merged = F.expr(f"concat({rest}[0], array_join(zip_with({new}, slice({rest},2,size({e})), (a,b)->concat(a,b)),''))")
+    out = both.select(*(merged.alias(c) if c == text_col else F.col(c) for c in docs.columns if c != "_n_entities"), F.size(e).cast("long").alias("_n_entities"))
+    plain = docs.where(~text.rlike(ENTITY)).select(*(text.alias(c) if c == text_col else F.col(c) for c in docs.columns if c != "_n_entities"), F.lit(0).cast("long").alias("_n_entities"))
     return plain.unionAll(out)

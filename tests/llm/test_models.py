@@ -115,3 +115,24 @@ def test_surrogates_of_odd_rows(spark, odd, none):
     assert surrogates.replace_entities(none, "k").collect() == []
     twice = spark.createDataFrame([(1, "a@b.com"), (1, "a@b.com"), (None, "a@b.com")], "doc_id long, text string")
     assert len({r["text"] for r in surrogates.replace_entities(twice, "k").collect()}) == 1
+
+
+def test_bare_names_follow_the_titled_one(spark):
+    texts = [
+        "Smith came. Mr. John Smith's car and Mrs. O'Brien-Lee’s; then John, SMITH, Smithson and Smith. O'Brien-Lee left.",
+        "Mr. J Smith and J and Smith's dog",
+        "Smith without a title",
+    ]
+    got = replaced(spark, texts)
+    surname, full, other, given = re.fullmatch(r"(\w+) came\. Mr\. (\w+ \w+)'s car and Mrs\. (\w+)’s; then (\w+), SMITH, Smithson and .*", got[0][0]).groups()
+    assert full.split() == [given, surname] and "Smith" not in (given, surname)
+    assert got[0][0].endswith(f", SMITH, Smithson and {surname}. {other} left.") and got[0][1] == 6
+    assert re.fullmatch(rf"Mr\. \w+ {surname} and J and {surname}'s dog", got[1][0]) and got[1][1] == 2
+    assert got[2] == (texts[2], 0)
+
+
+def test_surrogate_columns_may_clash(spark):
+    rows = spark.createDataFrame([(1, "mail a.b@c.com now", "x", "y", "z"), (2, "none", "x", "y", "z")], "doc_id long, text string, _e string, _row string, _n_entities string").selectExpr("*", "'q' as _x", "'w' as r", "'v' as _m")
+    got = surrogates.replace_entities(rows, "k")
+    assert set(got.columns) == set(rows.columns)
+    assert sorted((r["doc_id"], r["_n_entities"], r["_e"], r["_row"], r["_x"], r["r"], r["_m"], "@" in r["text"]) for r in got.collect()) == [(1, 1, "x", "y", "q", "w", "v", True), (2, 0, "x", "y", "q", "w", "v", False)]
