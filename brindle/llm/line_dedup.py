@@ -40,7 +40,7 @@ def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, i
     hot = F.col("h").isin([r["h"] for r in common.where(F.col("n") > F.greatest(F.lit(most), F.lit(100))).select("h").distinct().collect()])
     salted = exploded.withColumn("salt", F.when(hot, F.pmod(F.xxhash64("i", "p"), F.lit(SALTS))).otherwise(F.lit(0)).cast("int"))
     facts = common.select("h", "g", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("salt"))
-    gone = salted.join(facts, ["h", "g", "salt"], "left_semi").groupBy("i", "x", "y").agg(F.collect_set("p").alias("gone"))
+    gone = salted.join(facts.hint("merge"), ["h", "g", "salt"], "left_semi").groupBy("i", "x", "y").agg(F.collect_set("p").alias("gone"))
     x, y, i, gx, gy, g = unused(docs, "_x", "_y", "_i", "_gx", "_gy", "_gone")
     left = docs.withColumns({x: F.xxhash64(text_of(text_col)), y: F.xxhash64(F.lit(3), text_of(text_col))})
     both = left.join(gone.select(F.col("i").alias(i), F.col("x").alias(gx), F.col("y").alias(gy), F.col("gone").alias(g)), F.col(id_col).eqNullSafe(F.col(i)) & (F.col(x) == F.col(gx)) & (F.col(y) == F.col(gy)), "left")
