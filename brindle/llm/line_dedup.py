@@ -20,8 +20,9 @@ HOTTEST, SALTS = 1000, 256
 
 
 def line_key(line: Column) -> Column:
-    """White space of ASCII stripped at both ends, A-Z lower-cased."""
-    return F.translate(F.btrim(line, F.lit(BLANKS)), UPPER, LOWER)
+    """White space of ASCII stripped at both ends, A-Z lower-cased. Where all is ASCII, lower() says the same at less cost."""
+    line = F.btrim(line, F.lit(BLANKS))
+    return F.when(F.octet_length(line) == F.char_length(line), F.lower(line)).otherwise(F.translate(line, UPPER, LOWER))
 
 
 def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -32,7 +33,9 @@ def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, i
     """
     lines = F.split(text_of(text_col), "\n", -1)
     keyed = docs.select(F.col(id_col).alias("i"), F.xxhash64(text_of(text_col)).alias("x"), F.xxhash64(F.lit(3), text_of(text_col)).alias("y"), lines.alias("lines"))
-    exploded = keyed.select("i", "x", "y", F.posexplode("lines").alias("p", "line")).select("i", "x", "y", "p", line_key(F.col("line")).alias("k")).where(F.char_length("k") >= min_chars)
+    exploded = keyed.select("i", "x", "y", F.posexplode("lines").alias("p", "line"))
+    # the key is as long as the stripped line: the filter needs no second lower-casing
+    exploded = exploded.where(F.char_length(F.btrim("line", F.lit(BLANKS))) >= min_chars).select("i", "x", "y", "p", line_key(F.col("line")).alias("k"))
     exploded = exploded.select("i", "x", "y", "p", F.xxhash64("k").alias("h"), F.xxhash64(F.lit(1), F.col("k")).alias("g"))
     common = exploded.select("h", "g", "i").distinct().groupBy("h", "g").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs)
     common = stored(common, "common-lines")
