@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from brindle import streaming
 from brindle.functions import instants, types, values
+from brindle.functions.partitioning import partition_value
 from brindle.functions.types import parse_schema, parse_type, type_text
 from brindle.operators import union
 from brindle.operators.cast import cast_to
@@ -381,10 +382,26 @@ def t16_url_parts(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", *(v.alias(k) for k, v in files.url_parts(F.concat(F.lit("https://h.example:8/a/"), F.col("page_id"), F.lit("/b.tar.GZ?q=1"))).items()))
 
 
+def i11_transforms(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    told = {"b": ("o_orderkey", "bucket[16]"), "k": ("o_orderkey", "truncate[10]"), "s": ("c_name", "truncate[12]"), "y": ("o_orderdate", "year"), "m": ("o_orderdate", "month"), "d": ("o_orderdate", "day"), "v": ("c_name", "void")}
+    return orders.select("o_orderkey", *(partition_value(orders, c, t).alias(name) for name, (c, t) in told.items()))
+
+
 def i14_files(spark, sf_dir):
     return _snapshot_table(spark, sf_dir).files().groupBy(F.col("partition")["o_orderstatus"].alias("status")).agg(F.sum("record_count").alias("n"))
 
 
+#: Published 32-bit Murmur3 of a key below 2^32 as 8 bytes, in steps.
+_BUCKET_SQL = """with a as (select *, (o_orderkey::hugeint * 3432918353 % 4294967296)::bigint as x from orders join customer on o_custkey = c_custkey),
+b as (select *, (((x << 15) | (x >> 17)) & 4294967295)::hugeint * 461845907 % 4294967296 as x2 from a),
+c as (select *, ((((x2::bigint << 13) | (x2::bigint >> 19)) & 4294967295) * 5 + 3864292196) & 4294967295 as h from b),
+d as (select *, xor(((((h << 13) | (h >> 19)) & 4294967295) * 5 + 3864292196) & 4294967295, 8) as g from c),
+e as (select *, (xor(g, g >> 16)::hugeint * 2246822507 % 4294967296)::bigint as g2 from d),
+f as (select *, (xor(g2, g2 >> 13)::hugeint * 3266489909 % 4294967296)::bigint as g3 from e)
+select o_orderkey, ((xor(g3, g3 >> 16) & 2147483647) % 16)::int as b, o_orderkey - o_orderkey % 10 as k, substr(c_name, 1, 12) as s, (year(o_orderdate) - 1970)::int as y,
+((year(o_orderdate) - 1970) * 12 + month(o_orderdate) - 1)::int as m, (o_orderdate::date - date '1970-01-01')::int as d, null::varchar as v from f"""
+
 _MERGE_SQL = """with inc as (select o_orderkey as k, o_custkey + 1 as c, 'U' as s, 1 as o from orders where o_orderkey % 5 = 0 union all select o_orderkey, 0, 'L', 2 from orders where o_orderkey % 10 = 0
 union all select -o_orderkey, o_custkey, 'N', 3 from orders where o_orderkey % 7 = 0),
 last as (select k, arg_max(c, o) as c, arg_max(s, o) as s from inc group by k)
@@ -444,6 +461,7 @@ OTHER: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
     "i07_table_merge": (i07_table_merge, "select o_orderkey, -o_custkey as o_custkey, o_orderstatus from orders union all select -o_orderkey - 1, o_custkey, o_orderstatus from orders"),
     "i08_compact": (i08_compact, "select o_orderkey, o_custkey, o_orderstatus from orders where o_orderkey > 10"),
     "i09_evolve": (i09_evolve, "select o_orderkey, o_custkey as cust, o_orderstatus, null::varchar as note from orders where o_custkey > 10"),
+    "i11_transforms": (i11_transforms, _BUCKET_SQL),
     "i14_files": (i14_files, "select o_orderstatus as status, count(*)::bigint as n from orders group by 1"),
 }
 

@@ -302,3 +302,21 @@ def test_the_rest_stands_without_the_training_data_operators(tmp_path):
     shutil.copy(os.path.join(root, "__spark_entry__.py"), tmp_path)
     code = "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries()) and not any(n.startswith('op') for n in e.queries())"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={**os.environ, "PYTHONPATH": str(tmp_path)}, check=True)
+
+
+def test_partition_transforms(spark):
+    """Values of the published specification, nulls, times before 1970, and types that a transform does not take."""
+    from brindle.functions.partitioning import ZERO_SEED, murmur3, partition_value
+
+    assert murmur3(["iceberg".encode(), b"\x00\x01\x02\x03", None]).tolist() == [1210000089, -188683207, 0]
+    first = spark.sql(f"select hash({ZERO_SEED}) as zero, hash({ZERO_SEED}, 34L) as l, hash({ZERO_SEED}, cast(unix_date(date '2017-11-16') as bigint)) as d").first()
+    assert tuple(first) == (0, 2017239379, -653330422)
+    df = spark.sql("select 34 as i, -7 as n, 'iceberg' as s, date '1969-12-31' as d, timestamp_ntz '1969-12-31 23:30:00' as t, cast(10.65 as decimal(9,2)) as c union all select null, null, null, null, null, null")
+    told = {"i": ["bucket[100]", "identity", "void"], "n": ["truncate[10]"], "s": ["bucket[100]", "truncate[3]"], "d": ["year", "month", "day"], "t": ["year", "month", "day", "hour"], "c": ["truncate[50]"]}
+    rows = df.select(*(partition_value(df, c, t).alias(f"{c} {t}") for c, ts in told.items() for t in ts)).collect()
+    got = {k: str(v) for k, v in rows[0].asDict().items()}
+    assert got == {"i bucket[100]": "79", "i identity": "34", "i void": "None", "n truncate[10]": "-10", "s bucket[100]": "89", "s truncate[3]": "ice", "d year": "-1", "d month": "-1", "d day": "-1", "t year": "-1", "t month": "-1", "t day": "-1", "t hour": "-1", "c truncate[50]": "10.50"}
+    assert set(rows[1]) == {None}
+    for c, t in (("c", "bucket[4]"), ("s", "day"), ("d", "hour"), ("t", "truncate[3]"), ("i", "bucket[0]"), ("i", "week")):
+        with pytest.raises(ValueError):
+            partition_value(df, c, t)
