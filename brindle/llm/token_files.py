@@ -167,7 +167,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, id_col:
     Manifest: one row a shard in order: seq long, path string, low and high (least and greatest key), n_docs, n_tokens, start
     (ids in all shards before it). Null or empty text: end_id alone. Null keys come first and can't be looked up. Repeated keys
     keep their rows side by side. An empty table gives an empty manifest. Other columns are ignored. A task holds at most one
-    shard of about shard_tokens ids.
+    shard of about shard_tokens ids. The manifest is stored as one file: one a task would be a row each.
     """
     spark = docs.sparkSession
     folder = folder or fresh_dir(spark, "token-files")
@@ -215,19 +215,20 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, id_col:
             yield flush()
 
     dealt = docs.select(id_col, text_of(text_col).alias("text")).repartitionByRange(id_col).sortWithinPartitions(id_col)
-    shards = stored(dealt.mapInArrow(run, f"seq long, path string, low {kind}, high {kind}, n_docs long, n_tokens long"), "token-manifest")
+    shards = dealt.mapInArrow(run, f"seq long, path string, low {kind}, high {kind}, n_docs long, n_tokens long")
     before = Window.orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)  # one row a shard
-    return shards.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
+    return stored(shards.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0))), "token-manifest")
 
 
 def read_token_files(spark: SparkSession, manifest: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(id_col, start, n_tokens, ids_crc32) of every document, from the files alone; each document is found through the index.
 
-    A task reads whole shards one after the other. start: ids of all documents before it; ids_crc32: unsigned crc32 of its ids as
-    little-endian unsigned 32-bit integers.
+    A task reads whole shards one after the other, one task for four shuffle partitions: reading is a small part of the work, and
+    each task leaves a file. start: ids of all documents before it; ids_crc32: unsigned crc32 of its ids as little-endian unsigned
+    32-bit integers.
     """
     kind = manifest.schema["low"].dataType.simpleString()
-    tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4)
 
     def run(batches):
         for batch in batches:

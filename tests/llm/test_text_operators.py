@@ -97,6 +97,26 @@ def test_token_files_of_odd_rows_and_lookup(spark, odd, none):
     assert empty.collect() == [] and token_files.read_token_files(spark, empty).collect() == []
 
 
+def test_token_files_leave_few_files_besides_the_shards(spark, texts):
+    from tokenizers import Tokenizer
+
+    t, conf = Tokenizer.from_file(JSON), "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(conf, "false")
+    try:
+        manifest = token_files.write_token_files(spark.read.parquet(f"{SF}/documents.parquet"), JSON, 2, shard_tokens=20_000)
+        read = token_files.read_token_files(spark, manifest)
+        assert manifest.count() > 8 and len(manifest.inputFiles()) == 1
+        assert read.rdd.getNumPartitions() == 2
+        got, start = rows(read), 0
+    finally:
+        spark.conf.unset(conf)
+    assert len(got) == len(texts)
+    for d in sorted(texts):
+        ids = [*t.encode(texts[d], add_special_tokens=False).ids, 2]
+        assert (got[d]["start"], got[d]["n_tokens"], got[d]["ids_crc32"]) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+
+
 def test_perfect_hash_is_minimal_and_refuses_strangers():
     import numpy as np
 
