@@ -320,3 +320,29 @@ def test_partition_transforms(spark):
     for c, t in (("c", "bucket[4]"), ("s", "day"), ("d", "hour"), ("t", "truncate[3]"), ("i", "bucket[0]"), ("i", "week")):
         with pytest.raises(ValueError):
             partition_value(df, c, t)
+
+
+def test_listing_has_tables_that_are_folders(spark, tmp_path):
+    import shutil
+
+    from brindle import queries as Q
+    from brindle.sources import files
+
+    source = "/root/testdata/sf0.001"
+    for n in sorted(os.listdir(source)):
+        to = tmp_path / n
+        if n in ("orders.parquet", "nation.parquet", "pages.parquet"):
+            to.mkdir()
+            to = to / "part-0000.parquet"
+        shutil.copy(f"{source}/{n}", to)
+    got = Q.s26_listing(spark, str(tmp_path)).collect()
+    assert sorted((r["name"], r["stem"], r["extension"], r["some"]) for r in got) == [(n, n[:-8], "parquet", True) for n in sorted(os.listdir(source))]
+    assert sorted(r["name"] for r in Q.s27_pruned_listing(spark, str(tmp_path)).collect()) == ["nation.parquet", "region.parquet"]
+    (tmp_path / "empty.parquet").mkdir()
+    flat = {r["name"]: (r["is_container"], r["size"]) for r in files.listing(spark, str(tmp_path), "*.parquet", recursive=False).collect()}
+    assert flat["empty.parquet"] == (True, 0) and flat["region.parquet"] == (False, os.path.getsize(f"{source}/region.parquet"))
+    assert flat["orders.parquet"] == (True, os.path.getsize(f"{source}/orders.parquet"))
+    deep = {r["path"].split(tmp_path.name, 1)[1]: (r["is_container"], r["size"]) for r in files.listing(spark, str(tmp_path)).collect()}
+    assert len(deep) == len(flat) + 3 and deep["/orders.parquet"] == flat["orders.parquet"] and deep["/orders.parquet/part-0000.parquet"] == (False, flat["orders.parquet"][1])
+    assert [r["name"] for r in files.listing(spark, str(tmp_path), "orders.parquet/*").collect()] == ["part-0000.parquet"]
+    assert files.listing(spark, str(tmp_path / "absent")).collect() == []
