@@ -346,3 +346,30 @@ def test_listing_has_tables_that_are_folders(spark, tmp_path):
     assert len(deep) == len(flat) + 3 and deep["/orders.parquet"] == flat["orders.parquet"] and deep["/orders.parquet/part-0000.parquet"] == (False, flat["orders.parquet"][1])
     assert [r["name"] for r in files.listing(spark, str(tmp_path), "orders.parquet/*").collect()] == ["part-0000.parquet"]
     assert files.listing(spark, str(tmp_path / "absent")).collect() == []
+
+
+def test_measuring_data_files_sorts_nothing(spark, tmp_path):
+    t = Table.create(spark, str(tmp_path / "t"), parse_schema("id int64!, name utf8, x float64"))
+    store = spark.sparkContext._jsc.sc().statusStore()
+    empty = spark.sparkContext._jvm.java.util.ArrayList
+    stages = lambda: {(s.stageId(), s.attemptId()): s.peakExecutionMemory() for s in (lambda q: (q.apply(i) for i in range(q.size())))(store.stageList(empty(), False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), empty()))}
+    before = stages()
+    t.append(spark.range(600_000).selectExpr("id", "case when id % 7 = 0 then null else concat('n', id % 1000) end as name", "case when id = 5 then double('nan') else id / 2 end as x").coalesce(1))
+    assert max((v for k, v in stages().items() if k not in before), default=0) < 16 << 20
+    (f,) = t.plan().files
+    assert f["rows"] == 600_000 and [r["id"] for r in t.scan("name = 'n999' and id < 3000").collect()] == [999, 1999, 2999]
+    assert t.plan("name = 'o'").files == [] and len(t.plan("name = 'n0'").files) == 1
+
+
+def test_files_of_a_partition_grow_in_number(spark, tmp_path):
+    t = Table.create(spark, str(tmp_path / "t"), parse_schema("id int64!, name utf8, __bucket utf8, p utf8"), ["p"])
+    rows = spark.range(0, 200_000, 1, 8).selectExpr("id", "sha2(string(id), 256) as name", "'b' as __bucket", "'p' as p")
+    size = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "512k")
+    try:
+        t.append(rows)
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", size)
+    files = t.plan().files
+    assert len(files) > 8 and sum(f["rows"] for f in files) == 200_000 and max(f["rows"] for f in files) < 40_000
+    assert t.scan().exceptAll(rows).isEmpty() and t.scan().count() == 200_000
